@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shorewatch import values as V
@@ -40,16 +40,13 @@ def resolve_severity(rules: DataFrame) -> DataFrame:
 def merge_layers(layered: DataFrame) -> DataFrame:
     """Union of rule layers: the last definition of an id wins, the first one sets its place.
 
-    Grouping by id leaves one struct per id, so only distinct rules reach the final
-    numbering.
+    ``(layer, file, pos)`` of the result is the place, so sorting by it gives the
+    evaluation order.  Grouping by id pre-aggregates before the shuffle.
     """
     place = F.struct("layer", "file", "pos")
     body = F.struct(*[c for c in layered.columns if c not in ("layer", "file", "pos", "id")])
     merged = layered.groupBy("id").agg(F.min(place).alias("first"), F.max_by(body, place).alias("body"))
-    numbered = merged.withColumn(
-        "ord", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("first")) - 1
-    )
-    return numbered.select("ord", "id", "body.*")
+    return merged.select("first.*", "id", "body.*")
 
 
 def extension_table(rules: DataFrame) -> DataFrame:
