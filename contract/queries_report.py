@@ -192,8 +192,8 @@ def p19_bar_percent(c: Context) -> DataFrame:
     ),
 )
 def a14_max_algorithm_count(c: Context) -> DataFrame:
-    largest = listings.algorithm_counts(c.findings, "source").groupBy("source").agg(F.max("count").alias("largest"))
-    return c.reports.select("source").join(largest, "source", "left").select(
+    largest = listings.algorithm_counts(c.stored.findings, "source").groupBy("source").agg(F.max("count").alias("largest"))
+    return c.stored.reports.select("source").join(largest, "source", "left").select(
         "source", F.greatest(F.coalesce("largest", F.lit(1)), F.lit(1)).cast("bigint").alias("max_count")
     )
 
@@ -310,13 +310,13 @@ def s15_project_page(c: Context) -> DataFrame:
 )
 def s14_view_model(c: Context) -> DataFrame:
     algorithms = (
-        listings.algorithm_counts(c.findings, "source")
+        listings.algorithm_counts(c.stored.findings, "source")
         .groupBy("source")
         .agg(F.max("count").alias("largest"), F.least(F.count("*"), F.lit(10)).alias("alg_rows"))
     )
-    files = listings.file_groups(c.findings).groupBy("source").agg(F.count("*").alias("file_rows"))
+    files = listings.file_groups(c.stored.findings).groupBy("source").agg(F.count("*").alias("file_rows"))
     return (
-        c.reports.select("source", F.col("active").alias("active_count"))
+        c.stored.reports.select("source", F.col("active").alias("active_count"))
         .join(algorithms, "source", "left")
         .join(files, "source", "left")
         .select(
@@ -400,7 +400,7 @@ def w4_rule_index(c: Context) -> DataFrame:
     ),
 )
 def j6_result_rule_index(c: Context) -> DataFrame:
-    indexed = documents.with_rule_index(c.findings, listings.report_rules(c.findings))
+    indexed = documents.with_rule_index(c.stored.findings, listings.report_rules(c.stored.findings))
     return _big(indexed, "line", "rule_index").select("source", "file", "line", "rule_id", "rule_index")
 
 
@@ -417,7 +417,7 @@ def j6_result_rule_index(c: Context) -> DataFrame:
 )
 def p14_sarif_results(c: Context) -> DataFrame:
     """Fields read back from the nested result objects."""
-    indexed = documents.with_rule_index(c.findings, listings.report_rules(c.findings))
+    indexed = documents.with_rule_index(c.stored.findings, listings.report_rules(c.stored.findings))
     r = indexed.select("source", documents.sarif_result().alias("r"))
     place = F.col("r.locations")[0]["physicalLocation"]
     suppression = F.get(F.col("r.suppressions"), F.lit(0))
@@ -485,7 +485,7 @@ _BEST = """best AS (SELECT source, algorithm FROM alg QUALIFY
     ),
 )
 def a11_top_algorithm(c: Context) -> DataFrame:
-    return listings.top_algorithm(c.findings, c.reports).select("source", "top_algorithm")
+    return listings.top_algorithm(c.stored.findings, c.stored.reports).select("source", "top_algorithm")
 
 
 _RUN = "CASE WHEN key % 7 = 2 THEN 'skipped' WHEN key % 11 = 3 THEN 'failed' ELSE 'scanned' END"
@@ -602,7 +602,7 @@ def s11_digest_threats(c: Context) -> DataFrame:
     ),
 )
 def s11_digest_projects(c: Context) -> DataFrame:
-    return digest.projects(c.findings, c.reports).select("row")
+    return digest.projects(c.stored.findings, c.stored.reports).select("row")
 
 
 @query(
@@ -620,17 +620,17 @@ def s11_digest_findings(c: Context) -> DataFrame:
 
 @query("s8_report_documents")
 def s8_report_documents(c: Context) -> DataFrame:
-    return documents.report_document(c.reports, c.findings).select("source", "part", "rule_ord", "line", "text")
+    return documents.report_document(c.stored.reports, c.stored.findings).select("source", "part", "rule_ord", "line", "text")
 
 
 @query("s9_sarif_documents")
 def s9_sarif_documents(c: Context) -> DataFrame:
-    return documents.sarif_document(c.reports, c.findings).select("source", "part", "rule_ord", "line", "text")
+    return documents.sarif_document(c.stored.reports, c.stored.findings).select("source", "part", "rule_ord", "line", "text")
 
 
 @query("s10_combined_document")
 def s10_combined_document(c: Context) -> DataFrame:
-    return digest.combined_document(c.findings, c.reports, "2026-04-19")
+    return digest.combined_document(c.stored.findings, c.stored.reports, "2026-04-19")
 
 
 # -- diff --------------------------------------------------------------------

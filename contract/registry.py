@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import cached_property
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contract import planted as P
 from shorewatch.operators.rollup import report_rows
+from shorewatch.plans.jobs import ScanResult, scan_to_table, shared_directory
 from shorewatch.operators.scan import match_rules, raw_findings, scan, select_files
 from shorewatch.sources.rules import RulePack, _clean, bundled_rules
 
@@ -22,7 +24,7 @@ class Context:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
-        self.as_of = F.lit(P.AS_OF).cast("timestamp")
+        self.as_of = F.lit(f"{P.AS_OF}+00:00").cast("timestamp")
 
     def table(self, name: str) -> DataFrame:
         return P.read(self.spark, self.sf_dir, name)
@@ -63,6 +65,20 @@ class Context:
             self.corpus, self.findings, self.pack, scanned_at=self.as_of, report_id=F.col("source"), ref="main"
         )
 
+    @cached_property
+    def stored(self) -> ScanResult:
+        """Findings written once, for queries that read them more than once."""
+        directory = shared_directory(self.spark, f"findings-{uuid4().hex}")
+        return scan_to_table(
+            self.corpus,
+            self.pack,
+            directory,
+            self.exemptions,
+            self.as_of,
+            report_id=F.col("source"),
+            ref="main",
+        )
+
     @cached_property
     def targets(self) -> DataFrame:
         return P.target_table(self.spark, self.sf_dir)

@@ -74,7 +74,8 @@ def glob_matches(regex: Column, path: Column) -> Column:
 
 def is_expired(until: Column, as_of: Column) -> Column:
     """Past midnight UTC of the given day; an unreadable date never expires."""
-    day = F.when(until != "", F.try_to_timestamp(until, F.lit("yyyy-MM-dd")))
+    midnight = F.try_to_timestamp(F.concat(until, F.lit(" +00:00")), F.lit("yyyy-MM-dd XXX"))
+    day = F.when(until != "", midnight)
     return F.coalesce(as_of > day, F.lit(False))
 
 

@@ -10,9 +10,9 @@ from shorewatch import values as V
 
 def choose(key: Column, table: dict, default: Column) -> Column:
     """CASE over a small fixed table."""
-    out = None
+    out = F
     for value, result in table.items():
-        out = (F if out is None else out).when(key == value, F.lit(result))
+        out = out.when(key == value, result)
     return out.otherwise(default)
 
 

@@ -57,10 +57,12 @@ def _occurs_in_content(rows: list[dict]) -> Column:
     literals = {row["rule_ord"]: row["text_rx"] for row in rows}
     if len(literals) > MAX_LITERAL_RULES:
         return (F.col("text_rx") == "") | F.rlike(F.col("content"), F.col("text_rx"))
-    chain = F
-    for rule_ord, regex in literals.items():
-        chain = chain.when(F.col("rule_ord") == rule_ord, F.col("content").rlike(regex))
-    return chain.otherwise(F.lit(False))
+    cases = " ".join(f"WHEN {n} THEN content RLIKE {_sql_string(rx)}" for n, rx in literals.items())
+    return F.expr(f"CASE rule_ord {cases} ELSE false END")
+
+
+def _sql_string(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def match_rules(files: DataFrame, pack: RulePack) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from shorewatch.operators.rollup import report_rows
 from shorewatch.operators.scan import scan
@@ -28,22 +29,34 @@ def scan_corpus(
     return ScanResult(findings, report_rows(files, findings, pack, scanned_at=as_of, **report_options))
 
 
-def stored(result: ScanResult, directory: str) -> ScanResult:
-    """Write findings once and continue from the stored table.
+def scan_to_table(
+    files: DataFrame,
+    pack: RulePack,
+    directory: str,
+    exemptions: DataFrame | None = None,
+    as_of: Column | None = None,
+    **report_options,
+) -> ScanResult:
+    """Scan once, write the findings, and continue from the written table.
 
-    Reports, documents and portfolio tables all start from the findings; reading them
-    back avoids scanning the corpus for each one and survives lost executors.
+    Reports, documents and portfolio tables all start from the findings.  Reading them
+    back keeps the corpus from being scanned once per use, and lost executors from
+    causing a rescan.
     """
-    spark = result.findings.sparkSession
-    result.findings.write.mode("overwrite").parquet(f"{directory}/findings")
-    findings = spark.read.schema(result.findings.schema).parquet(f"{directory}/findings")
-    result.reports.write.mode("overwrite").parquet(f"{directory}/reports")
-    return ScanResult(findings, spark.read.parquet(f"{directory}/reports"))
+    findings = scan(files, pack, as_of, exemptions)
+    findings.write.mode("overwrite").parquet(f"{directory}/findings")
+    written = files.sparkSession.read.schema(findings.schema).parquet(f"{directory}/findings")
+    return ScanResult(written, report_rows(files, written, pack, scanned_at=as_of, **report_options))
 
 
-def shared_directory(spark, name: str, default: str | None = None) -> str:
-    """A folder below the one the session names in ``spark.checkpoint.dir``."""
-    base = spark.conf.get("spark.checkpoint.dir", default)
+def shared_directory(spark: SparkSession, name: str) -> str:
+    """A folder below the one the session names in ``spark.checkpoint.dir``.
+
+    Only a single-machine session may go without that setting.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        base = tempfile.mkdtemp(prefix="shorewatch-")
     return f"{base.rstrip('/')}/{name}"

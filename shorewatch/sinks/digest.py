@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shorewatch.functions import text
 from shorewatch.functions.severity import listing_rank
 from shorewatch.operators import listings, portfolio
+from shorewatch.sinks.documents import iso_utc
 
 
 def _rows(frame: DataFrame, order: list, *cells) -> DataFrame:
@@ -106,7 +107,7 @@ def project_summaries(findings: DataFrame, reports: DataFrame, k: int = 5) -> Da
     body = F.to_json(
         F.struct(
             "source",
-            F.date_format("scanned_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("scanned_at"),
+            iso_utc(F.col("scanned_at")).alias("scanned_at"),
             "files_scanned",
             "rules_applied",
             "duration_ms",
