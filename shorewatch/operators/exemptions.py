@@ -15,29 +15,23 @@ def annotations(files: DataFrame) -> DataFrame:
 
     The target is the next non-blank line.  Only files containing the marker are split.
     """
-    split = (
+    return (
         files.where(F.contains("content", F.lit(V.MARKER)))
         .where(text.readable(F.col("content")))
         .withColumn("lines", text.lines(F.col("content")))
-        .select("source", "file", "lines", ex.previous_text_line(F.col("lines")).alias("above"))
-    )
-    line = F.get(F.col("lines"), F.col("annotated") - 1)
-    return (
-        split.select("source", "file", "lines", F.posexplode("above").alias("pos", "annotated"))
-        .where(~text.is_blank(F.get(F.col("lines"), F.col("pos"))))
-        .select("source", "file", "annotated", (F.col("pos") + 1).alias("target_line"), line.alias("text"))
+        .select("source", "file", "lines", F.posexplode_outer("lines").alias("pos", "text"))
         .where(ex.has_marker(F.col("text")))
-        .withColumn("note", ex.annotation(F.col("text")))
-        .where(F.col("note").isNotNull())
         .select(
             "source",
             "file",
-            F.col("annotated").alias("line"),
-            "target_line",
-            F.col("note.rule").alias("rule_id"),
-            "note.reason",
-            "note.until",
+            (F.col("pos") + 1).alias("line"),
+            ex.text_line_below(F.col("lines"), F.col("pos")).alias("target_line"),
+            "text",
         )
+        .where(F.col("target_line").isNotNull())
+        .withColumn("note", ex.annotation(F.col("text")))
+        .where(F.col("note").isNotNull())
+        .select("source", "file", "line", "target_line", F.col("note.rule").alias("rule_id"), "note.reason", "note.until")
     )
 
 

@@ -72,9 +72,7 @@ def match_rules(files: DataFrame, pack: RulePack) -> DataFrame:
     the whole text; only files it occurs in are split into lines, one rule after the
     other, so the line pattern is compiled once per file and rule.
     """
-    above = ex.previous_text_line(text.lines(F.col("content")))
-    marked = files.withColumn("above", F.when(F.contains("content", F.lit(V.MARKER)), above))
-    return reduce(DataFrame.unionAll, (_match_slice(marked, rows) for rows in pack.slices()))
+    return reduce(DataFrame.unionAll, (_match_slice(files, rows) for rows in pack.slices()))
 
 
 def _match_slice(files: DataFrame, pack_rows: list[dict]) -> DataFrame:
@@ -86,6 +84,7 @@ def _match_slice(files: DataFrame, pack_rows: list[dict]) -> DataFrame:
     ).drop("rule_lang", "text_rx", "lang")
     split = (
         candidates.where(text.readable(F.col("content")))
+        .withColumn("marked", F.contains("content", F.lit(V.MARKER)))
         .withColumn("lines", text.lines(F.col("content")))
         .drop("content")
     )
@@ -101,17 +100,18 @@ def _match_slice(files: DataFrame, pack_rows: list[dict]) -> DataFrame:
 def raw_findings(files: DataFrame, pack: RulePack, as_of: Column) -> DataFrame:
     """Findings with inline annotations applied, before configured exemptions."""
     matched = match_rules(select_files(files, pack), pack)
-    above = F.get(F.col("lines"), F.get(F.col("above"), F.col("pos")) - 1)
+    annotated = F.col("marked") & ~text.is_blank(F.col("text"))
     located = (
         matched.withColumns(
             {
                 "line": F.col("pos") + 1,
                 "snippet": text.snippet(F.col("lines"), F.col("pos") + 1),
-                "note_text": F.when(F.col("above").isNotNull() & ~text.is_blank(F.col("text")), above),
+                "above": F.when(annotated, ex.lines_above(F.col("lines"), F.col("pos"))),
             }
         )
-        .drop("lines", "above", "pos", "text")
-        .withColumn("note", ex.annotation(F.col("note_text")))
+        .drop("lines", "marked", "pos", "text")
+        .withColumn("above", ex.last_text_line(F.col("above")))
+        .withColumn("note", ex.annotation(F.col("above")))
     )
     scope = F.col("note.rule")
     applies = (scope == "") | (scope == F.col("rule_id"))
