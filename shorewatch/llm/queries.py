@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shorewatch.llm.common import table
+from shorewatch.llm.language import fit, held_out, identify
+from shorewatch.llm.licenses import scan_licenses
 from shorewatch.llm.neardup_vectors import near_vectors
 from shorewatch.llm.topk import top_k
 
@@ -67,3 +70,16 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""",
 )
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_license_scan")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("detections")
+
+
+@query("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = held_out(F.col("doc_id"))
+    found = identify(docs.select("doc_id", "text"), fit(docs.where(~held)))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
