@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shorewatch.llm.common import table
+from shorewatch.llm.common import shared_folder, table
 from shorewatch.llm.language import fit, held_out, identify
 from shorewatch.llm.licenses import scan_licenses
 from shorewatch.llm.neardup_vectors import near_vectors
 from shorewatch.llm.topk import top_k
+from shorewatch.llm.warc import read_archive, write_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,3 +84,29 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = held_out(F.col("doc_id"))
     found = identify(docs.select("doc_id", "text"), fit(docs.where(~held)))
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+
+@query(
+    "op10_warc_index",
+    f"""
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS hex FROM pages
+), bits AS (
+  SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, unhex(hex)::BIT::VARCHAR AS b,
+    min(page_id) OVER (PARTITION BY payload) AS first FROM p
+)
+SELECT page_id, payload_bytes,
+  list_reduce(list_transform(range(32), lambda i: substr('{DIGITS}', 1 + list_reduce(list_transform(range(5),
+    lambda j: substr(b, 5 * i + j + 1, 1)::BIGINT), lambda x, y: 2 * x + y)::BIGINT, 1)), lambda x, y: x || y)
+    AS payload_digest,
+  CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first < page_id THEN first END AS refers_to
+FROM bits""",
+)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    archive = write_archive(pages, shared_folder(spark, "warc"))
+    return read_archive(archive, pages).drop("payload")
