@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations, product
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -104,34 +105,64 @@ def first_meeting(entries: np.ndarray, i: np.ndarray, j: np.ndarray, tables: int
     return first
 
 
-def block_links(threshold: float, tables: int):
-    """Of a block of a cell: what each row's links weigh, and ties that connect what is linked; never pairs."""
+def first_rows(rows: pd.DataFrame) -> np.ndarray:
+    """Where each block of each cell begins, for sorted rows."""
+    names = rows[["key", "a", "b"]].to_numpy()
+    return np.flatnonzero(np.concatenate(([True], (names[1:] != names[:-1]).any(axis=1))))
+
+
+def block_pairs(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs of one block of each cell, for rows sorted by cell and block; a pair may come twice."""
+    start = first_rows(rows)
+    size = np.diff(np.concatenate((start, [len(rows)])))
+    begin, length = np.repeat(start, size), np.repeat(size, size)
+    # Row i of a cell meets the rows after it.
+    later = begin + length - 1 - np.arange(len(rows))
+    i = np.repeat(np.arange(len(rows)), later)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later) - later, later)
+    block, a, b = rows["block"].to_numpy(), rows["a"].to_numpy(), rows["b"].to_numpy()
+    across = (block[i] != block[j]) | (a[i] == b[i])
+    return i[across], j[across]
+
+
+def block_links(threshold: float, tables: int, pairs_at_once: int = 200_000):
+    """Of many blocks of cells: what each row's links weigh, and ties that connect what is linked; never pairs."""
 
     def link(rows: pd.DataFrame) -> pd.DataFrame:
-        # The same row may have come to the cell from both sides of the block.
-        rows = rows.drop_duplicates("rep").reset_index(drop=True)
-        key, a, b = rows["key"].iloc[0], rows["a"].iloc[0], rows["b"].iloc[0]
-        unit, entries = np.stack(rows["unit"].to_numpy()), np.stack(rows["entries"].to_numpy())
-        rep, weight, block = rows["rep"].to_numpy(), rows["weight"].to_numpy(), rows["block"].to_numpy()
-        left, right = np.flatnonzero(block == a), np.flatnonzero(block == b)
-        i, j = np.nonzero(unit[left] @ unit[right].T >= threshold)
-        i, j = left[i], right[j]
-        if a == b:
-            i, j = i[i < j], j[i < j]
-        links, root = np.zeros(len(rows), np.int64), np.arange(len(rows))
-        if len(i):
-            here = first_meeting(entries, i, j, tables) == key
+        # A row that has come to a cell from its own probes and home, or from both sides of a block, counts once.
+        rows = rows.drop_duplicates(["key", "a", "b", "rep"]).sort_values(["key", "a", "b"], ignore_index=True)
+        names, number = np.unique(rows["rep"].to_numpy(), return_inverse=True)
+        once = np.unique(number, return_index=True)[1]
+        unit = np.stack(rows["unit"].to_numpy()[once])
+        entries = np.stack(rows["entries"].to_numpy()[once])
+        weight, key = rows["weight"].to_numpy()[once], rows["key"].to_numpy()
+        links, root = np.zeros(len(names), np.int64), np.arange(len(names))
+        # Blocks are cut into runs of about as many pairs as are compared at once.
+        begins = first_rows(rows)
+        sizes = np.diff(np.concatenate((begins, [len(rows)])))
+        run = np.cumsum(sizes * sizes) // pairs_at_once
+        cuts = begins[np.concatenate(([True], run[1:] != run[:-1]))].tolist()
+        for low, high in zip(cuts, [*cuts[1:], len(rows)], strict=True):
+            i, j = block_pairs(rows.iloc[low:high])
+            at, i, j = i + low, number[i + low], number[j + low]
+            near = np.concatenate(
+                [np.einsum("ij,ij->i", unit[i[x : x + 50_000]], unit[j[x : x + 50_000]]) >= threshold for x in range(0, len(i), 50_000)]
+                or [np.zeros(0, bool)]
+            )
+            at, i, j = at[near], i[near], j[near]
+            if len(i) == 0:
+                continue
+            here = first_meeting(entries, i, j, tables) == key[at]
             np.add.at(links, i[here], weight[j[here]])
             np.add.at(links, j[here], weight[i[here]])
-            changed = True
-            while changed:
-                low = np.minimum(root[i], root[j])
-                before = root.copy()
-                np.minimum.at(root, i, low)
-                np.minimum.at(root, j, low)
+            settled = False
+            while not settled:
+                least, before = np.minimum(root[i], root[j]), root.copy()
+                np.minimum.at(root, i, least)
+                np.minimum.at(root, j, least)
                 root = root[root]
-                changed = not np.array_equal(before, root)
-        out = pd.DataFrame({"rep": rep, "links": links, "root": rep[root]})
+                settled = np.array_equal(before, root)
+        out = pd.DataFrame({"rep": names, "links": links, "root": names[root]})
         return out[(links > 0) | (out["root"] != out["rep"])]
 
     return link
@@ -194,9 +225,12 @@ def near_vectors(
         .select("rep", "key", "block", other.alias("other"))
         .select("rep", "key", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
     )
+    # Blocks are small as a rule, so many of them go to one call.
+    placings = shared.agg(F.sum(F.col("n") * blocks)).first()[0] or 0
+    batches = max(1, ceil(placings / (8 * block_rows)))
     found = materialize(
         placed.join(coded, "rep")
-        .groupBy("key", "a", "b")
+        .groupBy(F.pmod(F.xxhash64("key", "a", "b"), F.lit(batches)))
         .applyInPandas(block_links(threshold, tables), "rep long, links long, root long"),
         "links",
     )
