@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shorewatch.llm.common import shared_folder, table
 from shorewatch.llm.language import fit, held_out, identify
 from shorewatch.llm.licenses import scan_licenses
+from shorewatch.llm.mixing import draw_mix, taken_words
 from shorewatch.llm.neardup_vectors import near_vectors
 from shorewatch.llm.topk import top_k
 from shorewatch.llm.warc import read_archive, write_archive
@@ -110,3 +111,47 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     archive = write_archive(pages, shared_folder(spark, "warc"))
     return read_archive(archive, pages).drop("payload")
+
+
+MIX_WEIGHTS = [3.0, 1.0, 2.0]
+
+
+@query(
+    "op4_source_mix",
+    r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+    [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight
+  FROM d GROUP BY source
+), fill AS (
+  SELECT 0 AS round, source, source_size, weight, false AS capped FROM s
+  UNION ALL
+  SELECT round + 1, source, source_size, weight, capped OR free * weight / open > 2 * source_size FROM (
+    SELECT *, sum(source_size) OVER () * 1.5 - sum(CASE WHEN capped THEN source_size * 2.0 ELSE 0 END) OVER () AS free,
+      sum(CASE WHEN capped THEN 0 ELSE weight END) OVER () AS open FROM fill
+  ) WHERE round <= (SELECT count(*) FROM s)
+), last AS (
+  SELECT *, sum(source_size) OVER () * 1.5 - sum(CASE WHEN capped THEN source_size * 2.0 ELSE 0 END) OVER () AS free,
+    sum(CASE WHEN capped THEN 0 ELSE weight END) OVER () AS open
+  FROM fill WHERE round = (SELECT count(*) FROM s)
+), t AS (
+  SELECT source, source_size, CASE WHEN capped THEN source_size * 2.0 ELSE free * weight / open END::DOUBLE AS target FROM last
+), b AS (
+  SELECT doc_id, source, unnest(range((size + 255) // 256)) AS block, size FROM d WHERE size > 0
+), w AS (
+  SELECT doc_id, source, least(256, size - block * 256) AS words, md5('4:' || doc_id || ':' || block) AS o, block FROM b
+), c AS (
+  SELECT w.doc_id, w.words, sum(w.words) OVER (PARTITION BY w.source ORDER BY o, words) - w.words AS before,
+    floor(t.target / t.source_size) AS epochs, floor(t.target - floor(t.target / t.source_size) * t.source_size) AS extra
+  FROM w JOIN t ON w.source IS NOT DISTINCT FROM t.source
+), k AS (
+  SELECT doc_id, sum(epochs * words + least(words, greatest(0, extra - before)))::BIGINT AS taken FROM c GROUP BY doc_id
+)
+SELECT d.doc_id, d.size, t.source_size, t.target, coalesce(k.taken, 0) AS taken
+FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN k ON k.doc_id = d.doc_id""",
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized, mix = draw_mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS)
+    return taken_words(sized, mix).withColumnRenamed("id", "doc_id")
