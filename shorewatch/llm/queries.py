@@ -12,6 +12,7 @@ from shorewatch.llm.language import fit, held_out, identify
 from shorewatch.llm.licenses import scan_licenses
 from shorewatch.llm.mixing import draw_mix, taken_words
 from shorewatch.llm.neardup_vectors import near_vectors
+from shorewatch.llm.packing import pack_documents
 from shorewatch.llm.topk import top_k
 from shorewatch.llm.warc import read_archive, write_archive
 
@@ -155,3 +156,16 @@ FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN k ON k.doc_id
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized, mix = draw_mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS)
     return taken_words(sized, mix).withColumnRenamed("id", "doc_id")
+
+
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    """A public tokenizer's definition."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
+        return f.read()
+
+
+@query("op2_best_fit_packing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file()).withColumnRenamed("id", "doc_id")
