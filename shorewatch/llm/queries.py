@@ -11,6 +11,7 @@ from shorewatch.llm.common import shared_folder, table
 from shorewatch.llm.language import fit, held_out, identify
 from shorewatch.llm.licenses import scan_licenses
 from shorewatch.llm.mixing import draw_mix, taken_words
+from shorewatch.llm.neardup_docs import near_documents
 from shorewatch.llm.neardup_vectors import near_vectors
 from shorewatch.llm.packing import pack_documents
 from shorewatch.llm.topk import top_k
@@ -169,3 +170,28 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
 @query("op2_best_fit_packing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file()).withColumnRenamed("id", "doc_id")
+
+
+@query(
+    "op1_ngram_jaccard",
+    r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [words] ELSE
+    list_transform(range(1, len(words) - 1), lambda i: words[i:i + 2]) END) AS set FROM w
+), e AS (
+  SELECT doc_id, len(set) AS n, unnest(set) AS shingle FROM s
+), link AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+    AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT a AS node, b AS other FROM link UNION SELECT r.node, l.b FROM reach r JOIN link l ON r.other = l.a
+)
+SELECT s.doc_id, len(s.set)::BIGINT AS n_shingles, least(s.doc_id, coalesce(m.low, s.doc_id)) AS component_id
+FROM s LEFT JOIN (SELECT node, min(other) AS low FROM reach GROUP BY node) m ON m.node = s.doc_id""",
+)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_documents(table(spark, sf_dir, "documents"), size=3, num=9, den=10)
