@@ -14,6 +14,7 @@ from shorewatch.llm.mixing import draw_mix, taken_words
 from shorewatch.llm.neardup_docs import near_documents
 from shorewatch.llm.neardup_vectors import near_vectors
 from shorewatch.llm.packing import pack_documents
+from shorewatch.llm.substrings import remove_repeats
 from shorewatch.llm.topk import top_k
 from shorewatch.llm.warc import read_archive, write_archive
 
@@ -195,3 +196,8 @@ FROM s LEFT JOIN (SELECT node, min(other) AS low FROM reach GROUP BY node) m ON
 )
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_documents(table(spark, sf_dir, "documents"), size=3, num=9, den=10)
+
+
+@query("op3_repeated_substrings")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), length=400)
