@@ -163,9 +163,12 @@ def match_strings(rows: pd.DataFrame) -> pd.DataFrame:
     # A fragment comes once, so equal strings are of different fragments.
     _, group, times = np.unique(np.stack([s1, s2]), axis=1, return_inverse=True, return_counts=True)
     often = times[group.ravel()] > 1
-    found = pd.DataFrame({"owner": owner[often], "start": start[often]}).groupby("owner")["start"].agg(list)
-    at = found.index.to_numpy(dtype=np.int64)
-    return pd.DataFrame({"anchor": names[at, 0] if len(at) else [], "f1": names[at, 1] if len(at) else [], "f2": names[at, 2] if len(at) else [], "starts": found.tolist()})
+    order = np.argsort(owner[often], kind="stable")
+    at, begins = np.unique(owner[often][order], return_index=True)
+    starts = np.empty(len(at), object)
+    starts[:] = np.split(start[often][order], begins[1:]) if len(at) else []
+    names = names.reshape(-1, 3)[at]
+    return pd.DataFrame({"anchor": names[:, 0], "f1": names[:, 1], "f2": names[:, 2], "starts": starts})
 
 
 def covered(starts: np.ndarray, length: int) -> np.ndarray:
