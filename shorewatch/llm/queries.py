@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shorewatch.llm.common import shared_folder, table
 from shorewatch.llm.language import fit, held_out, identify
 from shorewatch.llm.licenses import scan_licenses
+from shorewatch.llm.lines import dedup_lines
 from shorewatch.llm.mixing import draw_mix, taken_words
 from shorewatch.llm.neardup_docs import near_documents
 from shorewatch.llm.neardup_vectors import near_vectors
@@ -201,3 +202,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_repeated_substrings")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), length=400)
+
+
+@query("op8_line_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
