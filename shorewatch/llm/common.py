@@ -15,10 +15,18 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid4().hex}"
 
 
+#: Files of a written table for each task that the cluster runs at once.
+FILES_PER_SLOT = 4
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """The rows of a frame as a written table, so that no later step computes them again."""
+    """The rows of a frame as a written table, so that no later step computes them again.
+
+    Partitions beyond a few for each task slot are written one after another into the same file: they are
+    still computed and held one at a time, and small tables do not fall into thousands of files.
+    """
     spark, path = df.sparkSession, shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.coalesce(FILES_PER_SLOT * spark.sparkContext.defaultParallelism).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
