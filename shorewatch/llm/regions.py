@@ -69,6 +69,6 @@ def link_regions(
         if members.isEmpty():
             return joined
         if radius is not None and turns == 1:
-            condition = condition & F.coalesce(F.abs(F.col("a_away") - F.col("b_away")) <= radius, F.lit(True))
+            condition = condition & F.coalesce(F.abs(F.col("a_away") - F.col("b_away")) <= radius + 1e-9, F.lit(True))
         turns, whole = turns * growth, whole * growth
         pivots = F.col("turn") <= turns
