@@ -14,10 +14,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shorewatch.llm.common import materialize
+
 #: Hash buckets, longest n-gram, labelled rows that the fit reads per language, centroids per language.
 BUCKETS, LONGEST, SAMPLE, CENTROIDS = 8192, 3, 400, 4
-#: Upper ends, in letters, of the length bands that have radii of their own; and what a radius is widened by.
-BANDS, SLACK = (32, 128, 512), 1.25
+#: Upper ends, in letters, of the length bands that have radii of their own; what a radius is widened by, and
+#: the cosine distance up to which nothing is rejected, so that unusual texts of a language stay.
+BANDS, SLACK, LEAST_RADIUS = (32, 128, 512), 1.25, 0.5
 UNDETERMINED = "und"
 
 _letters: list[np.ndarray] = []
@@ -100,15 +103,14 @@ def cluster(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def labelled_sample(docs: DataFrame, text: Column, label: Column, key: Column, per_label: int) -> DataFrame:
     """At most ``per_label`` rows with letters of each label, chosen by the hash of their key."""
-    rows = docs.select(text.alias("text"), label.cast("string").alias("label"), F.xxhash64(key).alias("h")).where(
-        "label IS NOT NULL AND text IS NOT NULL AND h IS NOT NULL"
-    )
-    # The share of a label's rows that may be in the sample is known from its count, so that the exact
-    # choice ranks a few times the sample and not the corpus.
-    share = rows.groupBy("label").agg(F.least(F.lit(1.0), F.lit(3.0 * per_label) / F.count("*")).alias("share"))
-    few = rows.join(share, "label").where(F.pmod("h", F.lit(1_000_003)) < F.col("share") * 1_000_003)
-    order = Window.partitionBy("label").orderBy("h", "text")
-    return few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_label).drop("rank", "share")
+    rows = docs.select(text.alias("text"), label.cast("string").alias("label"), F.xxhash64(key, text).alias("h"))
+    rows = rows.where(label.isNotNull() & text.isNotNull() & key.isNotNull())
+    # The choice is made on hashes alone, and each task keeps no more of a label than the sample does; the
+    # texts of the chosen, a number that is bounded by the labels, are looked up after.
+    order = Window.partitionBy("label").orderBy("h")
+    ranked = rows.select("label", "h").withColumn("rank", F.row_number().over(order))
+    chosen = materialize(ranked.where(F.col("rank") <= per_label).select("label", "h").distinct(), "sample")
+    return rows.join(F.broadcast(chosen), ["label", "h"])
 
 
 def fit(
@@ -155,7 +157,7 @@ def fit(
             own = (rows["label"] == labels[owner]).to_numpy()
             for b in range(len(BANDS) + 1):
                 if (own & (band == b)).any():
-                    model.radius[c, b] = min(1.0, SLACK * float(distance[own & (band == b), c].max()))
+                    model.radius[c, b] = min(1.0, max(LEAST_RADIUS, SLACK * float(distance[own & (band == b), c].max())))
         # A shorter text is never held to a narrower radius than a longer one.
         model.radius = np.maximum.accumulate(model.radius[:, ::-1], axis=1)[:, ::-1]
     return model
