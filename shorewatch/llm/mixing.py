@@ -100,6 +100,7 @@ def draw_mix(
     id_col: str = "doc_id",
     source_col: str = "source",
     text_col: str = "text",
+    row_col: str | None = None,
     block_words: int | None = BLOCK_WORDS,
     shard_draws: int = SHARD_DRAWS,
     seed: int = 4,
@@ -108,6 +109,7 @@ def draw_mix(
 
     Documents: row, id, source, size, source_size, target.  Mix: shard, place (from 0 in the shard), row,
     epoch, first_word, n_words.  ``block_words`` None makes each document one block, whole or not at all.
+    ``row_col`` names unique numbers of the rows by which the caller finds them again; they are made if not given.
 
     * A source's taken words are its target, rounded down; with whole documents, less than one document
       more.  No document is taken more often than ``most`` rounded up, nor more than ``most`` times its size.
@@ -118,7 +120,7 @@ def draw_mix(
     """
     spark = docs.sparkSession
     sized = docs.select(
-        F.monotonically_increasing_id().alias("row"),
+        (F.col(row_col).cast("long") if row_col else F.monotonically_increasing_id()).alias("row"),
         F.col(id_col).cast("long").alias("id"),
         F.col(source_col).cast("string").alias("source"),
         word_count(F.col(text_col)).alias("size"),
