@@ -12,45 +12,57 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_ranks(symbols: np.ndarray, length: int) -> np.ndarray:
-    """Places of the suffixes in an order by at least their first ``length`` symbols, by prefix doubling."""
+def suffix_order(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Suffixes in an order by at least their first ``length`` symbols, by prefix doubling.
+
+    Also the ranks by a shorter beginning, and how long that is: where the expansion can start.
+    """
     base = int(symbols.max()) + 2
-    key, known = symbols.astype(np.int64) + 1, 1
+    known = max(1, min(length, 62 // base.bit_length()))
+    padded = np.concatenate((symbols + 1, np.zeros(known, np.int64)))
+    key = np.zeros(len(symbols), np.int64)
+    for i in range(known):
+        key = key * base + padded[i : i + len(symbols)]
+    begun, depth = None, known
     while True:
-        order = np.argsort(key, kind="stable")
-        changes = np.concatenate(([0], (np.diff(key[order]) != 0).astype(np.int64)))
+        order = np.argsort(key)
+        ordered = key[order]
         rank = np.empty(len(key), np.int64)
-        rank[order] = np.cumsum(changes)
+        rank[order] = np.cumsum(np.concatenate(([False], ordered[1:] != ordered[:-1])))
+        if begun is None or known <= length // 8:
+            begun, depth = rank, known
         if known >= length or rank.max() == len(rank) - 1:
-            return order
-        behind = np.concatenate((rank[known:] + 1, np.zeros(min(known, len(rank)), np.int64)))[: len(rank)]
-        key, known = rank * max(base, len(rank) + 1) + behind, known * 2
+            return order, begun, depth
+        behind = np.zeros(len(rank), np.int64)
+        behind[:-known] = rank[known:] + 1
+        key, known = rank * (len(rank) + 1) + behind, known * 2
 
 
-def long_prefixes(symbols: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
+def long_prefixes(symbols: np.ndarray, order: np.ndarray, begun: np.ndarray, depth: int, length: int) -> np.ndarray:
     """For each place in the order, whether its suffix shares ``length`` symbols or more with the one before."""
     n = len(symbols)
     before = symbols[order - 1]  # the transform; the first suffix is preceded by the last symbol
     # Where the suffix that begins one symbol to the left stands: equal symbols keep their order.
     step = np.empty(n, np.int64)
-    step[np.argsort(before, kind="stable")] = np.arange(n)
+    step[np.argsort(before * n + np.arange(n))] = np.arange(n)
     first = symbols[order]
-    known = np.zeros(n + 1, bool)
-    known[0] = known[n] = True
-    low, high = np.array([0]), np.array([n - 1])
-    for _ in range(length):
+    # Common prefixes shorter than ``depth`` are known from the sort; all intervals of that depth are open.
+    known = np.ones(n + 1, bool)
+    known[1:n] = begun[order[1:]] != begun[order[:-1]]
+    low = np.flatnonzero(known[:n])
+    high = np.concatenate((low[1:], [n])) - 1
+    for _ in range(depth, length):
         if not len(low):
             break
         size = high - low + 1
         owner = np.repeat(np.arange(len(low)), size)
-        within = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
-        place = step[low[owner] + within]
-        wide = size[owner] > 1
-        if wide.any():
+        place = step[np.arange(len(owner)) + np.repeat(low - np.cumsum(size) + size, size)]
+        if len(owner) > len(low):
             # Sorted by interval and place, the extensions by one symbol are runs of adjacent places.
-            by = np.argsort(owner * (n + 1) + place, kind="stable") if not wide.all() or len(low) > 1 else np.argsort(place)
+            by = np.argsort(owner * n + place)
             place, owner = place[by], owner[by]
-        new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1) | (first[place[1:]] != first[place[:-1]])))
+        new = np.ones(len(place), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1) | (first[place[1:]] != first[place[:-1]])
         starts = np.flatnonzero(new)
         lows, highs = place[starts], place[np.concatenate((starts[1:], [len(place)])) - 1]
         open_ = ~known[highs + 1]
@@ -71,8 +83,8 @@ def repeated_starts(strings: list[bytes], length: int) -> list[np.ndarray]:
     inside[ends] = False
     symbols[inside] = np.frombuffer(b"".join(strings), np.uint8)
     symbols[ends] = 256 + np.arange(len(strings))
-    order = suffix_ranks(symbols, length)
-    long = long_prefixes(symbols, order, length)
+    order, begun, depth = suffix_order(symbols, length)
+    long = long_prefixes(symbols, order, begun, depth, length)
     marked = np.zeros(len(symbols), bool)
     marked[order[long]] = True
     marked[order[np.flatnonzero(long) - 1]] = True
