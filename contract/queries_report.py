@@ -213,10 +213,10 @@ def a7_file_groups(c: Context) -> DataFrame:
 
 @query(
     "o1_worst_files",
-    O.from_findings(f"SELECT * FROM ({_FILE_GROUPS}) ORDER BY critical DESC, high DESC, file, source LIMIT 50"),
+    O.from_findings(f"SELECT * FROM ({_FILE_GROUPS}) ORDER BY critical DESC, high DESC, file, source"),
 )
 def o1_worst_files(c: Context) -> DataFrame:
-    return listings.file_groups(c.findings).orderBy(*listings.file_group_order(), "source").limit(50)
+    return listings.file_groups(c.findings).orderBy(*listings.file_group_order(), "source")
 
 
 _TOP_COLUMNS = "source, file, rule_id, CAST(line AS BIGINT) AS line, algorithm, severity, quantum_threat"
@@ -255,7 +255,7 @@ def w5_top_findings_by_source(c: Context) -> DataFrame:
     "o4_walk_order",
     O.from_selected(
         """SELECT source, file, row_number() OVER (PARTITION BY source ORDER BY string_split(file, '/')) AS position
-           FROM selected QUALIFY position <= 20"""
+           FROM selected"""
     ),
 )
 def o4_walk_order(c: Context) -> DataFrame:
@@ -263,7 +263,7 @@ def o4_walk_order(c: Context) -> DataFrame:
 
     order = Window.partitionBy("source").orderBy(text.segments(F.col("file")))
     ranked = c.selected.select("source", "file").withColumn("position", F.row_number().over(order))
-    return _big(ranked.where(F.col("position") <= 20), "position")
+    return _big(ranked, "position")
 
 
 @query(

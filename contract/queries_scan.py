@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -563,21 +565,18 @@ def w6_rule_override(c: Context) -> DataFrame:
 
 @query(
     "u1_layer_union",
-    f"""WITH {_RULE_TABLE} SELECT id, count(*) AS definitions, count(DISTINCT layer) AS layers,
-            CAST(min(layer) AS BIGINT) AS first_layer, CAST(max(layer) AS BIGINT) AS deciding_layer
-        FROM rule_table GROUP BY id""",
+    f"""{_MERGED}, d AS (SELECT id, count(*) AS definitions, count(DISTINCT layer) AS layers FROM rule_table GROUP BY id)
+        SELECT CAST(place[1] AS BIGINT) AS layer, r.id, pattern, severity, definitions, layers
+        FROM r JOIN d ON d.id = r.id WHERE last = 1""",
 )
 def u1_layer_union(c: Context) -> DataFrame:
-    """Layers arrive as separate tables and are unioned before merging."""
+    """Layers arrive as tables of their own, without a layer column, and are numbered, unioned and merged."""
     rules = rule_table(c)
-    layers = [rules.where(F.col("layer") == n) for n in range(4)]
-    union = layers[0].unionByName(layers[1]).unionByName(layers[2]).unionByName(layers[3])
-    return union.groupBy("id").agg(
-        F.count("*").alias("definitions"),
-        F.countDistinct("layer").alias("layers"),
-        F.min("layer").cast("bigint").alias("first_layer"),
-        F.max("layer").cast("bigint").alias("deciding_layer"),
-    )
+    layers = [rules.where(F.col("layer") == n).drop("layer") for n in range(4)]
+    union = reduce(DataFrame.unionByName, (t.withColumn("layer", F.lit(n)) for n, t in enumerate(layers)))
+    counts = union.groupBy("id").agg(F.count("*").alias("definitions"), F.countDistinct("layer").alias("layers"))
+    merged = rops.merge_layers(union).select(F.col("layer").cast("bigint"), "id", "pattern", "severity")
+    return merged.join(counts, "id").select("layer", "id", "pattern", "severity", "definitions", "layers")
 
 
 # -- labels and report scalars ---------------------------------------------------
@@ -675,14 +674,15 @@ def j7_target_subset(c: Context) -> DataFrame:
     "j7_target_semi_join",
     O.with_steps(
         f"""SELECT repo, replace(repo, '/', '-') AS slug FROM targets WHERE replace(repo, '/', '-') IN (
-              SELECT replace({O.SOURCE.format(k="l_suppkey")}, '/', '-') FROM lineitem WHERE l_quantity > 49)""",
+              SELECT replace({O.SOURCE.format(k="l_suppkey")}, '/', '-') FROM lineitem
+              WHERE l_quantity > 45 AND l_discount >= 0.1 AND l_tax >= 0.08)""",
         O.TARGETS,
     ),
 )
 def j7_target_semi_join(c: Context) -> DataFrame:
     wanted = (
         c.table("lineitem")
-        .where(F.col("l_quantity") > 49)
+        .where((F.col("l_quantity") > 45) & (F.col("l_discount") >= 0.1) & (F.col("l_tax") >= 0.08))
         .select(text.slug(P.source_of(F.col("l_suppkey"))).alias("slug"))
         .distinct()
     )

@@ -62,4 +62,4 @@ def gate_failed(fail_on: Column, critical: Column, high: Column, total: Column)
 
 
 def bar_percent(count: Column, largest: Column) -> Column:
-    return F.floor(count * 100 / F.greatest(largest, F.lit(1))).cast("bigint")
+    return F.call_function("div", count * 100, F.greatest(largest, F.lit(1))).cast("bigint")

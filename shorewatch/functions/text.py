@@ -28,13 +28,6 @@ def lines(content: Column) -> Column:
     return F.when(open_end, F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
-def readable(content: Column) -> Column:
-    """False when some line is longer than the line buffer; such a file yields nothing."""
-    return (F.octet_length(content) <= V.MAX_LINE_BYTES) | ~F.exists(
-        F.split(content, "\n"), lambda line: F.octet_length(line) > V.MAX_LINE_BYTES
-    )
-
-
 def is_blank(line: Column) -> Column:
     return ~line.rlike(_NOT_SPACE)
 

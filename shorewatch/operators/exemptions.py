@@ -17,7 +17,6 @@ def annotations(files: DataFrame) -> DataFrame:
     """
     return (
         files.where(F.contains("content", F.lit(V.MARKER)))
-        .where(text.readable(F.col("content")))
         .withColumn("lines", text.lines(F.col("content")))
         .select("source", "file", "lines", F.posexplode_outer("lines").alias("pos", "text"))
         .where(ex.has_marker(F.col("text")))
@@ -83,12 +82,16 @@ def valid_exemptions(exemptions: DataFrame) -> DataFrame:
     )
 
 
-def apply_config(findings: DataFrame, exemptions: DataFrame, as_of: Column, salts: int = 1) -> DataFrame:
+#: Partitions that a source is spread over where the lists are too large to broadcast.
+SALTS = 16
+
+
+def apply_config(findings: DataFrame, exemptions: DataFrame, as_of: Column, salts: int = SALTS) -> DataFrame:
     """First matching entry of the source's list decides; annotated findings stay as they are.
 
     Spark broadcasts the lists when they are small enough by its own statistics and
-    shuffles by source otherwise.  For a table too large to broadcast, ``salts``
-    spreads a dominant source over that many partitions.
+    shuffles by source otherwise; ``salts`` then spreads a dominant source over that
+    many partitions.
     """
     lists = valid_exemptions(exemptions).withColumnRenamed("source", "list_source")
     condition = F.col("source") == F.col("list_source")

@@ -7,6 +7,7 @@ runs on a stream.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -16,18 +17,13 @@ from shorewatch import model
 from shorewatch import values as V
 from shorewatch.functions import exemptions as ex
 from shorewatch.functions import text
-from shorewatch.operators.exemptions import apply_config
-from shorewatch.sources.rules import RulePack, table
-
-MAX_LITERAL_RULES = 48
+from shorewatch.operators.exemptions import SALTS, apply_config
+from shorewatch.sources.rules import MAX_BROADCAST_BYTES, RulePack, table
 
 _EXT = model._fields(("ext", model.S), ("lang", model.S))
-_MATCHERS = model._fields(
-    ("lang", model.S),
+_ATTRIBUTES = model._fields(
     ("rule_ord", model.I),
     ("rule_id", model.S),
-    ("line_rx", model.S),
-    ("text_rx", model.S),
     *[(n, model.S) for n in ("algorithm", "severity", "message", "migration", "quantum_threat", "primitive")],
     ("composition", model.B),
 )
@@ -40,61 +36,114 @@ def select_files(files: DataFrame, pack: RulePack) -> DataFrame:
     """
     known = [{"ext": e, "lang": g} for e, g in sorted(pack.extension_map.items())]
     languages = table(files.sparkSession, known, _EXT)
+    small = sum(len(json.dumps(r)) for r in known) <= MAX_BROADCAST_BYTES
     return (
         files.where(~text.in_skipped_directory(F.col("file")))
         .withColumn("ext", text.extension(F.col("file")))
-        .join(F.broadcast(languages), "ext")
+        .join(F.broadcast(languages) if small else languages, "ext")
         .drop("ext")
     )
 
 
-def _occurs_in_content(rows: list[dict]) -> Column:
-    """Does the rule of this row occur anywhere in the content?
+def _by_language(pack: RulePack) -> dict[str, list[dict]]:
+    found: dict[str, list[dict]] = {}
+    for row in pack.matchers:
+        found.setdefault(row["lang"], []).append(row)
+    return found
+
+
+def _case(column: str, branches: dict[str, Column], otherwise: Column) -> Column:
+    case = reduce(lambda c, kv: c.when(F.col(column) == kv[0], kv[1]), branches.items(), F.when(F.lit(False), otherwise))
+    return case.otherwise(otherwise)
+
+
+def _worth_splitting(languages: dict[str, list[dict]]) -> Column:
+    """One test of the whole text for each language whose patterns all have a form for whole texts."""
+    tests = {
+        lang: F.rlike("content", F.lit("|".join(f"(?:{r['text_rx']})" for r in rows)))
+        for lang, rows in languages.items()
+        if all(r["text_rx"] for r in rows)
+    }
+    return F.col("lang").isin(*languages) & _case("lang", tests, F.lit(True))
+
+
+def _hits(languages: dict[str, list[dict]]) -> Column:
+    """Numbers of the rules that match the line; patterns are literals, so each is compiled once a task."""
+    none = F.array().cast("array<int>")
+    found = {
+        lang: F.array(*[F.when(F.rlike("text", F.lit(r["line_rx"])), F.lit(r["ord"])) for r in own])
+        for lang, rows in languages.items()
+        if (own := [r for r in rows if not r["recursive"]])
+    }
+    return F.filter(_case("lang", found, none), lambda n: n.isNotNull())
 
-    Patterns written as literals are compiled once per task, a pattern column once per
-    rule and file.  The literal form is limited to packs whose generated code stays small.
-    """
-    literals = {row["rule_ord"]: row["text_rx"] for row in rows}
-    if len(literals) > MAX_LITERAL_RULES:
-        return (F.col("text_rx") == "") | F.rlike(F.col("content"), F.col("text_rx"))
-    cases = " ".join(f"WHEN {n} THEN content RLIKE {_sql_string(rx)}" for n, rx in literals.items())
-    return F.expr(f"CASE rule_ord {cases} ELSE false END")
 
+def _linear_hits(languages: dict[str, list[dict]]):
+    """Matches of patterns on which the built-in engine recurses, by the linear engine of Arrow: (pos, rule_ord) of a file."""
+    patterns = {
+        lang: [(r["ord"], r["pattern"]) for r in rows if r["recursive"]] for lang, rows in languages.items()
+    }
 
-def _sql_string(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    def match(langs, lines):
+        import numpy as np
+        import pandas as pd
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        out = []
+        for lang, file in zip(langs, lines):
+            array = pa.array([] if file is None else list(file), pa.string())
+            out.append(
+                [
+                    {"pos": int(i), "ord": number}
+                    for number, pattern in patterns.get(lang, ())
+                    for i in np.flatnonzero(pc.match_substring_regex(array, pattern).to_numpy(zero_copy_only=False))
+                ]
+            )
+        return pd.Series(out, dtype=object)
+
+    # Annotated here, as the libraries are imported in the tasks.
+    return F.pandas_udf(match, "array<struct<pos: int, ord: int>>", F.PandasUDFType.SCALAR)
 
 
 def match_rules(files: DataFrame, pack: RulePack) -> DataFrame:
     """One row per (file, rule, line) match, with the line array still attached.
 
-    The rule side is broadcast in slices of a fixed size.  A rule is first tried on
-    the whole text; only files it occurs in are split into lines, one rule after the
-    other, so the line pattern is compiled once per file and rule.
+    Rules are tried together on the whole text; a file is split once, and each line is tested by the
+    rules of its language in one expression.  Attributes of rules are joined to the matches.
     """
-    return reduce(DataFrame.unionAll, (_match_slice(files, rows) for rows in pack.slices()))
-
-
-def _match_slice(files: DataFrame, pack_rows: list[dict]) -> DataFrame:
-    rows = [{**r, "rule_ord": r["ord"], "rule_id": r["id"]} for r in pack_rows]
-    rules = table(files.sparkSession, rows, _MATCHERS).withColumnRenamed("lang", "rule_lang")
-    candidates = files.join(
-        F.broadcast(rules),
-        (F.col("lang") == F.col("rule_lang")) & _occurs_in_content(rows),
-    ).drop("rule_lang", "text_rx", "lang")
+    languages = _by_language(pack)
+    if not languages:
+        return _attributes(files.limit(0).selectExpr("*", "false marked", "array('') lines", "0 pos", "'' text", "0 rule_ord"), pack)
     split = (
-        candidates.where(text.readable(F.col("content")))
+        files.where(_worth_splitting(languages))
         .withColumn("marked", F.contains("content", F.lit(V.MARKER)))
         .withColumn("lines", text.lines(F.col("content")))
         .drop("content")
     )
-    return (
+    hits = _hits(languages)
+    if any(r["recursive"] for rows in languages.values() for r in rows):
+        split = split.withColumn("linear", _linear_hits(languages)("lang", "lines"))
+        here = F.transform(F.filter("linear", lambda h: h["pos"] == F.col("pos")), lambda h: h["ord"])
+        hits = F.concat(hits, here)
+    matched = (
         # The outer form only keeps the optimizer from splitting every file in an
         # inferred "has lines" filter; files without lines fall out in the match.
         split.select("*", F.posexplode_outer("lines").alias("pos", "text"))
-        .where(F.rlike(F.col("text"), F.col("line_rx")))
-        .drop("line_rx")
+        .withColumn("hits", hits)
+        .where(F.size("hits") > 0)
+        .withColumn("rule_ord", F.explode("hits"))
+        .drop("hits", "linear")
     )
+    return _attributes(matched, pack)
+
+
+def _attributes(matched: DataFrame, pack: RulePack) -> DataFrame:
+    rows = [{**r, "rule_ord": r["ord"], "rule_id": r["id"]} for r in pack.rules]
+    rules = table(matched.sparkSession, rows, _ATTRIBUTES)
+    # The size of a pack is known; one beyond the limit is joined as Spark sees fit.
+    small = sum(len(json.dumps(r)) for r in rows) <= MAX_BROADCAST_BYTES
+    return matched.drop("lang").join(F.broadcast(rules) if small else rules, "rule_ord")
 
 
 def raw_findings(files: DataFrame, pack: RulePack, as_of: Column) -> DataFrame:
@@ -140,7 +189,7 @@ def scan(
     pack: RulePack,
     as_of: Column | None = None,
     exemptions: DataFrame | None = None,
-    salts: int = 1,
+    salts: int = SALTS,
 ) -> DataFrame:
     """Findings of a corpus ``files(source, file, content)``.
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,13 +49,6 @@ def scan_to_table(
 
 
 def shared_directory(spark: SparkSession, name: str) -> str:
-    """A folder below the one the session names in ``spark.checkpoint.dir``.
-
-    Only a single-machine session may go without that setting.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="shorewatch-")
+    """A folder below ``spark.checkpoint.dir``, or below the warehouse where that is unset; all executors share both."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{name}"

@@ -14,25 +14,34 @@ FIELDS = ("rule", "path", "reason", "owner", "until")
 
 
 def parse_exemptions(document: str, source: str) -> list[dict]:
+    """Entries of one configuration file; a file that can't be read as such is one entry without reason, which voids the list."""
     import yaml
 
-    loaded = yaml.safe_load(document) or {}
+    try:
+        loaded = yaml.safe_load(document) or {}
+    except yaml.YAMLError as error:
+        return [_void(source, f"unreadable: {error}")]
     entries = loaded.get("exemptions") if isinstance(loaded, dict) else None
-    return [
-        {"source": source, "ord": i, **{f: str(entry.get(f) or "") for f in FIELDS}}
-        for i, entry in enumerate(entries or [])
-    ]
+    if not isinstance(entries or [], list) or not all(isinstance(e, dict) for e in entries or []):
+        return [_void(source, "unreadable: exemptions is no list of mappings")]
+    text = lambda value: "" if value is None else str(value)
+    return [{"source": source, "ord": i, **{f: text(e.get(f)) for f in FIELDS}} for i, e in enumerate(entries or [])]
+
+
+def _void(source: str, problem: str) -> dict:
+    return {"source": source, "ord": 0, **dict.fromkeys(FIELDS, ""), "owner": problem}
 
 
 def exemptions_from_checkouts(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
     """Lists of local checkouts, ``roots`` mapping source to directory; no file means no entries.
 
-    Validity (every entry needs a reason) is decided where the lists are applied.
+    A broken file voids the list of its own source only.  Validity (every entry needs a reason) is
+    decided where the lists are applied.
     """
     rows = [
         entry
         for source, root in roots.items()
         if (path := Path(root) / V.CONFIG_FILE).is_file()
-        for entry in parse_exemptions(path.read_text("utf-8"), source)
+        for entry in parse_exemptions(path.read_text("utf-8", "replace"), source)
     ]
     return table(spark, rows, model.CONFIG_EXEMPTIONS)

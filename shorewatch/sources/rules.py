@@ -2,13 +2,13 @@
 
 A rule pack is small data by nature (tens to thousands of rules written by people),
 so it is read and validated on the driver and becomes a Spark table whose size is
-known exactly; ``RulePack.slices`` bounds every broadcast built from it.
+known exactly and broadcast only below ``MAX_BROADCAST_BYTES``.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from functools import cached_property
 from pathlib import Path
 
@@ -23,7 +23,6 @@ from shorewatch.functions.dialect import PatternError, to_java
 
 FIELDS = [name for name, _ in model.RULE_FIELDS]
 MAX_BROADCAST_BYTES = 8 << 20
-MAX_PACK_RULES = 100_000
 
 
 class RuleError(ValueError):
@@ -45,7 +44,7 @@ def problem_of(rule: dict) -> str | None:
 
 
 def _clean(raw: dict) -> dict:
-    rule = {name: str(raw.get(name) or "") for name in FIELDS}
+    rule = {name: "" if raw.get(name) is None else str(raw[name]) for name in FIELDS}
     rule["extensions"] = [str(e) for e in raw.get("extensions") or []]
     rule["composition"] = bool(raw.get("composition"))
     return rule
@@ -123,10 +122,8 @@ class RulePack:
 
     @classmethod
     def from_table(cls, rules: DataFrame, mode: str = "FAILFAST") -> RulePack:
-        """Rules kept in a table, ordered by ``ord``; refuses tables that are not rule packs in size."""
-        rows = rules.select("ord", *FIELDS).limit(MAX_PACK_RULES + 1).collect()
-        if len(rows) > MAX_PACK_RULES:
-            raise RuleError(f"more than {MAX_PACK_RULES} rules")
+        """Rules kept in a table, ordered by ``ord``; a pack is validated on the driver, so the table passes through it."""
+        rows = rules.select("ord", *FIELDS).collect()
         return cls((_clean(r.asDict()) for r in sorted(rows, key=lambda r: r["ord"])), mode)
 
     def __len__(self) -> int:
@@ -157,21 +154,8 @@ class RulePack:
                 "lang": language,
                 "line_rx": to_java(rule["pattern"]).line,
                 "text_rx": to_java(rule["pattern"]).text,
+                "recursive": to_java(rule["pattern"]).recursive,
             }
             for rule in self.rules
             for language in ([rule["language"]] if rule["language"] else languages)
         ]
-
-    def slices(self, limit: int = MAX_BROADCAST_BYTES) -> Iterator[list[dict]]:
-        """Matcher rows in runs whose encoded size stays below ``limit`` (one row at least)."""
-        run: list[dict] = []
-        size = 0
-        for row in self.matchers:
-            weight = len(json.dumps(row))
-            if run and size + weight > limit:
-                yield run
-                run, size = [], 0
-            run.append(row)
-            size += weight
-        if run:
-            yield run

@@ -58,7 +58,6 @@ SKIPPED_DIRECTORIES = [
     ".cache",
     "out",
 ]
-MAX_LINE_BYTES = 1_048_575
 
 # -- fixed values: severity by threat and, where it matters, primitive --------
 THREAT_SEVERITY = {
@@ -76,24 +75,28 @@ SEVERITY_RANK = {"CRITICAL": 4, "HIGH": 3, "MEDIUM": 2, "LOW": 1, "INFO": 0, "SA
 LISTING_RANK = {"CRITICAL": 0, "HIGH": 1, "MEDIUM": 2, "LOW": 3}
 CONFIDENCE = 8
 
-# -- fixed values: annotation and configuration formats -----------------------
-MARKER = "observer:ignore"
-MARKER_PATTERN = r"observer:ignore\b"
+# -- defaults of this package: annotation marker, configuration file ------------
+MARKER = "cryptoscan:ignore"
+CONFIG_FILE = ".cryptoscan.yml"
+
+# -- fixed values: annotation formats -------------------------------------------
+MARKER_PATTERN = rf"{MARKER}\b"
 ANNOTATION_RULE_PATTERN = r"\brule=([A-Za-z0-9._:/-]+)"
 ANNOTATION_REASON_PATTERN = r"""\breason=(?:"([^"]*)"|'([^']*)'|(\S+))"""
 ANNOTATION_UNTIL_PATTERN = r"\buntil=(\d{4}-\d{2}-\d{2})"
-CONFIG_FILE = ".observer.yml"
 
 # -- fixed values: interchange report ------------------------------------------
 SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
 SARIF_VERSION = "2.1.0"
 SARIF_LEVEL = {"CRITICAL": "error", "HIGH": "error", "MEDIUM": "warning"}
 CI_LEVEL = {"CRITICAL": "error", "HIGH": "error", "MEDIUM": "warning"}
-PROPERTY_NAMESPACE = "observer"
 PROPERTY_SCHEMA_VERSION = "1.0"
-FINGERPRINT_KEY = "observer/v1"
 BASE_TAGS = ["security", "cryptography", "post-quantum"]
 
+# -- defaults of this package: where report properties and fingerprints are kept ---
+PROPERTY_NAMESPACE = "cryptoscan"
+FINGERPRINT_KEY = "cryptoscan/v1"
+
 # -- fixed values: display labels --------------------------------------------
 THREAT_LABELS = {
     "shor-broken": "Shor-broken (CRQC)",

@@ -1,25 +1,16 @@
-"""Registered queries against their SQL on the smallest tables.
-
-``CONTRACT_ALL=1`` runs every query; by default one of each kind runs.
-"""
-
-import os
+"""Every registered query against its SQL on the smallest tables."""
 
 import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from contract.registry import ORACLES
 
 SF = "/root/testdata/sf0.001"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
-SAMPLE = [
-    "s2_lines", "s2_text_corpus_scan", "j3_extension_map", "w1_annotation_targets", "p24_findings", "p9_glob_match",
-    "j5_config_exemptions_salted", "a2_risk_axes", "w5_top_findings_by_source", "a13_report_rules", "t2_compare_scans",
-    "w6_rule_override", "j9_target_metadata", "s11_digest_projects",
-]
-NAMES = list(contract.oracle_sql()) if os.environ.get("CONTRACT_ALL") else SAMPLE
+NAMES = list(ORACLES)
 
 
 @pytest.fixture(scope="module")

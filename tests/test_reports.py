@@ -155,6 +155,31 @@ def test_combined_document(spark):
     assert combined["global"]["top_algorithms"][0]["count"] == 1
 
 
+def test_tree_keeps_private_and_hidden_names(spark, tmp_path):
+    names = ["pkg/a.py", "pkg/__init__.py", "_private.py", "_gen/b.py", ".github/c.py", "__tests__/d.js", "ok/.eslintrc.js"]
+    for source in ("one", "two words"):
+        for name in [*names, "build/no.py", "notes.txt", "pkg/.cache/no.py"]:
+            (tmp_path / source / name).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / source / name).write_text(f"{source} {name}")
+    (tmp_path / "loose.py").write_text("in no checkout")
+    got = {(r.source, r.file): r.content for r in files_from_tree(spark, str(tmp_path), PACK, None).collect()}
+    assert got == {(s, n): f"{s} {n}" for s in ("one", "two words") for n in names}
+    assert {r.file for r in files_from_tree(spark, str(tmp_path / "one"), PACK).collect()} == set(names)
+
+
+def test_broken_exemption_file_voids_its_own_list_only(spark, tmp_path):
+    for source, document in {
+        "good": "exemptions: [{path: 'a/**', reason: kept}]", "yaml": "exemptions: [", "shape": "exemptions: [text]", "list": "exemptions: 3",
+    }.items():
+        (tmp_path / source).mkdir()
+        (tmp_path / source / V.CONFIG_FILE).write_text(document)
+    lists = exemptions_from_checkouts(spark, {s: str(tmp_path / s) for s in ("good", "yaml", "shape", "list")})
+    from shorewatch.operators.exemptions import valid_exemptions
+
+    assert [r.source for r in valid_exemptions(lists).collect()] == ["good"]
+    assert lists.where("source = 'yaml' AND owner LIKE 'unreadable%'").count() == 1
+
+
 def test_sources_on_disk(spark, tmp_path):
     root = tmp_path / "my build" / "app"
     for path, content in {

@@ -52,9 +52,9 @@ def test_lines(spark):
 
 def test_annotation_goldens(spark):
     lines = [
-        f'// {M} rule=shor-broken.rsa reason="SWIFT partner" until=2027-03-31',
-        f"# {M} reason='legacy interop'",
-        f"// {M} rule=foo",
+        f'// {M} rule=tls-handshake reason="vendor device" until=2028-11-30',
+        f"# {M} reason='old printer'",
+        f"// {M} rule=bar",
         f"// {M} reason=\"\" until=2020-01-01",
         f"// {M}d reason=x",
         f"// {M} reason='\t'",
@@ -64,8 +64,8 @@ def test_annotation_goldens(spark):
     frame = table(spark, [{"i": i, "line": x} for i, x in enumerate(lines)], "i int, line string")
     got = [r.n and tuple(r.n) for r in frame.select("i", ex.annotation(F.col("line")).alias("n")).orderBy("i").collect()]
     assert got == [
-        ("shor-broken.rsa", "SWIFT partner", "2027-03-31"),
-        ("", "legacy interop", ""),
+        ("tls-handshake", "vendor device", "2028-11-30"),
+        ("", "old printer", ""),
         None,
         None,
         None,
@@ -76,23 +76,23 @@ def test_annotation_goldens(spark):
 
 
 def test_annotation_target_is_next_text_line(spark):
-    content = f'package x\n\n// {M} reason="legacy"\n\nrsa.New()'
+    content = f'module y\n\n# {M} reason="vault"\n\nsign(key)'
     got = exops.annotations(files(spark, [("s", "a.go", content)])).collect()
-    assert [(r.target_line, r.reason) for r in got] == [(5, "legacy")]
+    assert [(r.target_line, r.reason) for r in got] == [(5, "vault")]
 
 
 @pytest.mark.parametrize(
     ("pattern", "path", "expected"),
     [
-        ("src/**/partners/**", "src/main/java/partners/swift/Foo.java", True),
-        ("src/**/partners/**", "src/main/java/other/Foo.java", False),
-        ("**/*.go", "cmd/app/main.go", True),
-        ("**/*.go", "cmd/app/main.js", False),
+        ("lib/**/legacy/**", "lib/net/tls/legacy/old/Cipher.java", True),
+        ("lib/**/legacy/**", "lib/net/tls/current/Cipher.java", False),
+        ("**/*.py", "tools/release/sign.py", True),
+        ("**/*.py", "tools/release/sign.rb", False),
         ("**/*.go", "main.go", True),
         ("", "anything", True),
-        ("exact.txt", "exact.txt", True),
-        ("exact.txt", "other.txt", False),
-        ("exact.txt", "exactxtxt", False),
+        ("keys.pem", "keys.pem", True),
+        ("keys.pem", "certs.pem", False),
+        ("keys.pem", "keysxpem", False),
         ("src/**", "src", True),
         ("/src", "src", False),
         ("a**b", "axxb", True),
@@ -177,12 +177,22 @@ def test_files_and_languages(spark):
     assert got == sorted(expected)
 
 
-def test_overlong_line_voids_the_file(spark):
+def test_line_of_any_length_is_scanned(spark):
     pack = RulePack([rule("r", "hit")])
-    fits, too_long = "é" * 524_287 + "\r", "é" * 524_288
-    rows = [("s", "fits.go", f"hit\n{fits}\nhit"), ("s", "long.go", f"hit\n{too_long}\nhit"), ("s", "tail.go", "hit\n" + too_long)]
+    long = "é" * 700_000
+    rows = [("s", "long.go", f"hit\n{long}\nhit"), ("s", "in.go", f"{long}hit{long}")]
     got = raw_findings(files(spark, rows), pack, now()).select("file", "line").collect()
-    assert sorted(map(tuple, got)) == [("fits.go", 1), ("fits.go", 3)]
+    assert sorted(map(tuple, got)) == [("in.go", 1), ("long.go", 1), ("long.go", 3)]
+
+
+def test_patterns_that_recurse_on_long_lines(spark):
+    """Repeated groups go to the linear engine; the built-in one would exhaust its stack on such a line."""
+    pack = RulePack([rule("alternatives", r"(?:ab|cd)*x"), rule("words", r"(\w+\s?)+\("), rule("plain", "tail")])
+    assert [m["recursive"] for m in pack.matchers if m["lang"] == "go"] == [True, True, False]
+    line = "abcd" * 250_000
+    rows = [("s", "a.go", f"{line}\n{line}x\nfoo bar(\n\ntail(")]
+    got = raw_findings(files(spark, rows), pack, now()).select("rule_id", "line").collect()
+    assert sorted(map(tuple, got)) == [("alternatives", 2), ("plain", 5), ("words", 3), ("words", 5)]
 
 
 def corpus(seed, count):
@@ -247,11 +257,12 @@ def test_every_matching_strategy_gives_the_same(spark, monkeypatch):
     frame = files(spark, corpus(3, 200))
     expected = collected(raw_findings(frame, PACK, now()))
     assert collected(raw_findings(frame.repartition(7), PACK, now())) == expected
-    monkeypatch.setattr(scan_module, "MAX_LITERAL_RULES", 0)
+    # All patterns on the linear engine, then rule attributes without broadcast.
+    everything = [{**m, "recursive": True, "text_rx": ""} for m in PACK.matchers]
+    monkeypatch.setattr(RulePack, "matchers", everything)
     assert collected(raw_findings(frame, PACK, now())) == expected
-    whole = RulePack.slices
-    monkeypatch.setattr(RulePack, "slices", lambda self: whole(self, 1))
-    assert len(list(PACK.slices())) == len(PACK.matchers)
+    monkeypatch.undo()
+    monkeypatch.setattr(scan_module, "MAX_BROADCAST_BYTES", 0)
     assert collected(raw_findings(frame, PACK, now())) == expected
 
 
