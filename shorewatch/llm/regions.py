@@ -43,8 +43,8 @@ def link_regions(
     takes part in no window.  A region is done when its members are in one component or all have
     been pivots, so every pair that meets the condition is measured or settled otherwise.
     """
-    sizes = members.groupBy("region").agg(F.count("*").alias("count"), F.min("node").alias("pivot")).where("count > 1")
-    members = members.join(materialize(sizes, "regions"), "region")
+    sizes = members.select("region", "node").groupBy("region").agg(F.count("*").alias("count"), F.min("node").alias("pivot"))
+    members = members.join(materialize(sizes.where("count > 1"), "regions"), "region")
     members = members.withColumn("component", F.col("node")).withColumn("away", F.lit(None).cast("double"))
     # Turns come from a hash, so about as many members have had one as there are turns.
     members = members.withColumn("turn", F.pmod(F.xxhash64("region", "node"), F.col("count")) + 1)
