@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shorewatch import values as V
 from shorewatch.functions import exemptions as ex
 from shorewatch.functions import text
+from shorewatch.operators.salting import SALTS, salted_join
 
 
 def annotations(files: DataFrame) -> DataFrame:
@@ -82,10 +83,6 @@ def valid_exemptions(exemptions: DataFrame) -> DataFrame:
     )
 
 
-#: Partitions that a source is spread over where the lists are too large to broadcast.
-SALTS = 16
-
-
 def apply_config(findings: DataFrame, exemptions: DataFrame, as_of: Column, salts: int = SALTS) -> DataFrame:
     """First matching entry of the source's list decides; annotated findings stay as they are.
 
@@ -93,21 +90,14 @@ def apply_config(findings: DataFrame, exemptions: DataFrame, as_of: Column, salt
     shuffles by source otherwise; ``salts`` then spreads a dominant source over that
     many partitions.
     """
-    lists = valid_exemptions(exemptions).withColumnRenamed("source", "list_source")
-    condition = F.col("source") == F.col("list_source")
-    if salts > 1:
-        findings_in = findings.withColumn("salt", F.pmod(F.xxhash64("file"), F.lit(salts)))
-        lists = lists.withColumn("list_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        condition &= F.col("salt") == F.col("list_salt")
-    else:
-        findings_in = findings
+    lists = valid_exemptions(exemptions)
 
     def matches(entry: Column) -> Column:
         rule_fits = (entry["rule"] == "") | (entry["rule"] == F.col("rule_id"))
         return rule_fits & ((entry["rx"] == "") | ex.glob_matches(entry["rx"], F.col("file")))
 
     chosen = F.when(F.col("status") == V.ACTIVE, F.get(F.filter("listed", matches), F.lit(0)))
-    picked = findings_in.join(lists, condition, "left").withColumn("pick", chosen)
+    picked = salted_join(findings, lists, ["source"], salts, "left").withColumn("pick", chosen)
     hit = F.col("pick").isNotNull()
     exemption = F.when(
         hit, ex.exemption(F.col("pick.reason"), F.col("pick.owner"), F.col("pick.until"), "config")

@@ -17,7 +17,8 @@ from shorewatch import model
 from shorewatch import values as V
 from shorewatch.functions import exemptions as ex
 from shorewatch.functions import text
-from shorewatch.operators.exemptions import SALTS, apply_config
+from shorewatch.operators.exemptions import apply_config
+from shorewatch.operators.salting import SALTS
 from shorewatch.sources.rules import MAX_BROADCAST_BYTES, RulePack, table
 
 _EXT = model._fields(("ext", model.S), ("lang", model.S))

@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from shorewatch.operators.rollup import report_rows
+from shorewatch.operators.salting import SALTS
 from shorewatch.operators.scan import scan
 from shorewatch.sources.rules import RulePack
 
@@ -21,10 +22,11 @@ def scan_corpus(
     pack: RulePack,
     exemptions: DataFrame | None = None,
     as_of: Column | None = None,
+    salts: int = SALTS,
     **report_options,
 ) -> ScanResult:
     """Findings and one report row per source, both lazy."""
-    findings = scan(files, pack, as_of, exemptions)
+    findings = scan(files, pack, as_of, exemptions, salts)
     return ScanResult(findings, report_rows(files, findings, pack, scanned_at=as_of, **report_options))
 
 
@@ -34,6 +36,7 @@ def scan_to_table(
     directory: str,
     exemptions: DataFrame | None = None,
     as_of: Column | None = None,
+    salts: int = SALTS,
     **report_options,
 ) -> ScanResult:
     """Scan once, write the findings, and continue from the written table.
@@ -42,7 +45,7 @@ def scan_to_table(
     back keeps the corpus from being scanned once per use, and lost executors from
     causing a rescan.
     """
-    findings = scan(files, pack, as_of, exemptions)
+    findings = scan(files, pack, as_of, exemptions, salts)
     findings.write.mode("overwrite").parquet(f"{directory}/findings")
     written = files.sparkSession.read.schema(findings.schema).parquet(f"{directory}/findings")
     return ScanResult(written, report_rows(files, written, pack, scanned_at=as_of, **report_options))
