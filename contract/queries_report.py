@@ -192,8 +192,8 @@ def p19_bar_percent(c: Context) -> DataFrame:
     ),
 )
 def a14_max_algorithm_count(c: Context) -> DataFrame:
-    largest = listings.algorithm_counts(c.stored.findings, "source").groupBy("source").agg(F.max("count").alias("largest"))
-    return c.stored.reports.select("source").join(largest, "source", "left").select(
+    largest = listings.algorithm_counts(c.findings, "source").groupBy("source").agg(F.max("count").alias("largest"))
+    return c.corpus.select("source").distinct().join(largest, "source", "left").select(
         "source", F.greatest(F.coalesce("largest", F.lit(1)), F.lit(1)).cast("bigint").alias("max_count")
     )
 
@@ -400,7 +400,7 @@ def w4_rule_index(c: Context) -> DataFrame:
     ),
 )
 def j6_result_rule_index(c: Context) -> DataFrame:
-    indexed = documents.with_rule_index(c.stored.findings, listings.report_rules(c.stored.findings))
+    indexed = documents.with_rule_index(c.stored_findings, listings.report_rules(c.stored_findings))
     return _big(indexed, "line", "rule_index").select("source", "file", "line", "rule_id", "rule_index")
 
 
@@ -417,7 +417,7 @@ def j6_result_rule_index(c: Context) -> DataFrame:
 )
 def p14_sarif_results(c: Context) -> DataFrame:
     """Fields read back from the nested result objects."""
-    indexed = documents.with_rule_index(c.stored.findings, listings.report_rules(c.stored.findings))
+    indexed = documents.with_rule_index(c.stored_findings, listings.report_rules(c.stored_findings))
     r = indexed.select("source", documents.sarif_result().alias("r"))
     place = F.col("r.locations")[0]["physicalLocation"]
     suppression = F.get(F.col("r.suppressions"), F.lit(0))
@@ -485,7 +485,7 @@ _BEST = """best AS (SELECT source, algorithm FROM alg QUALIFY
     ),
 )
 def a11_top_algorithm(c: Context) -> DataFrame:
-    return listings.top_algorithm(c.stored.findings, c.stored.reports).select("source", "top_algorithm")
+    return listings.top_algorithm(c.findings, c.corpus.select("source").distinct()).select("source", "top_algorithm")
 
 
 _RUN = "CASE WHEN key % 7 = 2 THEN 'skipped' WHEN key % 11 = 3 THEN 'failed' ELSE 'scanned' END"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from contract import planted as P
 from shorewatch.operators.rollup import report_rows
-from shorewatch.plans.jobs import ScanResult, scan_to_table, shared_directory
+from shorewatch.plans.jobs import ScanResult, findings_to_table, scan_to_table, shared_directory
 from shorewatch.operators.scan import match_rules, raw_findings, scan, select_files
 from shorewatch.sources.rules import RulePack, _clean, bundled_rules
 
@@ -65,9 +65,15 @@ class Context:
             self.corpus, self.findings, self.pack, scanned_at=self.as_of, report_id=F.col("source"), ref="main"
         )
 
+    @cached_property
+    def stored_findings(self) -> DataFrame:
+        """Findings written once, for queries that read nothing else, but more than once."""
+        directory = shared_directory(self.spark, f"findings-{uuid4().hex}")
+        return findings_to_table(self.corpus, self.pack, directory, self.exemptions, self.as_of)
+
     @cached_property
     def stored(self) -> ScanResult:
-        """Findings written once, for queries that read them more than once."""
+        """Findings and reports written once, for queries that read them more than once."""
         directory = shared_directory(self.spark, f"findings-{uuid4().hex}")
         return scan_to_table(
             self.corpus,

@@ -30,6 +30,18 @@ def scan_corpus(
     return ScanResult(findings, report_rows(files, findings, pack, scanned_at=as_of, **report_options))
 
 
+def findings_to_table(
+    files: DataFrame,
+    pack: RulePack,
+    directory: str,
+    exemptions: DataFrame | None = None,
+    as_of: Column | None = None,
+    salts: int = SALTS,
+) -> DataFrame:
+    """Scan once, write the findings below a shared directory, and continue from the written table."""
+    return _written(scan(files, pack, as_of, exemptions, salts), f"{directory}/findings")
+
+
 def scan_to_table(
     files: DataFrame,
     pack: RulePack,
@@ -39,16 +51,19 @@ def scan_to_table(
     salts: int = SALTS,
     **report_options,
 ) -> ScanResult:
-    """Scan once, write the findings, and continue from the written table.
+    """Findings and report rows as written tables.
 
-    Reports, documents and portfolio tables all start from the findings.  Reading them
-    back keeps the corpus from being scanned once per use, and lost executors from
-    causing a rescan.
+    Documents and portfolio tables start from both several times.  Reading them back keeps the
+    corpus from being scanned once per use, and lost executors from causing a rescan.
     """
-    findings = scan(files, pack, as_of, exemptions, salts)
-    findings.write.mode("overwrite").parquet(f"{directory}/findings")
-    written = files.sparkSession.read.schema(findings.schema).parquet(f"{directory}/findings")
-    return ScanResult(written, report_rows(files, written, pack, scanned_at=as_of, **report_options))
+    findings = findings_to_table(files, pack, directory, exemptions, as_of, salts)
+    reports = report_rows(files, findings, pack, scanned_at=as_of, **report_options)
+    return ScanResult(findings, _written(reports, f"{directory}/reports"))
+
+
+def _written(frame: DataFrame, path: str) -> DataFrame:
+    frame.write.mode("overwrite").parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
 def shared_directory(spark: SparkSession, name: str) -> str:
