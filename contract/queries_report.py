@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from contract import oracle_base as O
 from contract.oracle_base import case
 from contract.registry import Context, query
+from shorewatch import model
 from shorewatch import values as V
 from shorewatch.functions import labels
 from shorewatch.functions import severity as sev
 from shorewatch.functions import text
 from shorewatch.operators import diff, listings, portfolio, rollup
 from shorewatch.operators.scan import scan
+from shorewatch.plans.jobs import shared_directory
 from shorewatch.sinks import digest, documents
 
 _RANK = case("severity", V.LISTING_RANK, "4")
@@ -623,6 +628,79 @@ def s8_report_documents(c: Context) -> DataFrame:
     return documents.report_document(c.stored.reports, c.stored.findings).select("source", "part", "rule_ord", "line", "text")
 
 
+_READ_BACK = """rule_id, file, CAST(line AS BIGINT) AS line, CAST("column" AS BIGINT) AS "column", algorithm, severity,
+  CAST(confidence AS BIGINT) AS confidence, snippet, message, migration, nullif(quantum_threat, '') AS quantum_threat,
+  nullif(primitive, '') AS primitive, status"""
+
+
+def _written_items(c: Context, fragments: DataFrame, name: str, parsed: DataType | str) -> DataFrame:
+    """Findings of documents that were written and read again, a fragment at a time."""
+    folder = shared_directory(c.spark, f"{name}-{uuid4().hex}")
+    documents.write_documents(fragments.where("part = 1"), folder)
+    read = c.spark.read.schema("value string, source string").text(folder)
+    comma = F.startswith("value", F.lit(","))
+    body = F.when(comma, F.substring("value", 2, 1 << 30)).otherwise(F.col("value"))
+    return read.select("source", comma.alias("after_comma"), F.from_json(body, parsed).alias("r"))
+
+
+@query(
+    "s8_report_items",
+    O.from_findings(
+        f"""SELECT source, {_READ_BACK}, ex_reason, nullif(ex_owner, '') AS ex_owner, nullif(ex_until, '') AS ex_until, ex_source,
+              row_number() OVER (PARTITION BY source ORDER BY string_split(file, '/'), rule_ord, line) > 1 AS after_comma
+            FROM findings"""
+    ),
+)
+def s8_report_items(c: Context) -> DataFrame:
+    """All fields of the findings in the written JSON reports, and which of them a comma goes before."""
+    fragments = documents.report_document(c.stored.reports, c.stored.findings)
+    items = _written_items(c, fragments, "reports", model.REPORT_FINDING)
+    plain = ["rule_id", "file", "algorithm", "severity", "snippet", "message", "migration", "quantum_threat", "primitive", "status"]
+    return items.select(
+        "source",
+        "after_comma",
+        *[F.col(f"r.{n}") for n in plain],
+        *[F.col(f"r.{n}").cast("bigint").alias(n) for n in ("line", "column", "confidence")],
+        *[F.col(f"r.exemption.{n}").alias(f"ex_{n}") for n in ("reason", "owner", "until", "source")],
+    )
+
+
+@query(
+    "s9_sarif_items",
+    O.from_reports(
+        f"""SELECT f.source, f.rule_id, CAST(x.rule_index AS BIGINT) AS rule_index,
+              {case("f.severity", V.SARIF_LEVEL, "'note'")} AS level, f.file AS uri, CAST(f.line AS BIGINT) AS start_line,
+              sha256(f.rule_id || '|' || f.file || '|' || trim(regexp_replace(f.snippet, {O.lit("[" + V.SPACE_CLASS + "]+")}, ' ', 'g')))
+                AS fingerprint,
+              CASE WHEN f.ex_source = 'config' THEN 'external' WHEN f.ex_source IS NOT NULL THEN 'inSource' END AS kind,
+              f.ex_reason AS justification,
+              row_number() OVER (PARTITION BY f.source ORDER BY string_split(f.file, '/'), f.rule_ord, f.line) > 1 AS after_comma
+            FROM findings f JOIN first x ON f.source = x.source AND f.rule_id = x.rule_id""",
+        _FIRST,
+    ),
+)
+def s9_sarif_items(c: Context) -> DataFrame:
+    """Results of the written SARIF documents."""
+    parsed = """ruleId string, ruleIndex bigint, level string, partialFingerprints map<string, string>,
+      locations array<struct<physicalLocation: struct<artifactLocation: struct<uri: string>, region: struct<startLine: bigint>>>>,
+      suppressions array<struct<kind: string, justification: string>>"""
+    items = _written_items(c, documents.sarif_document(c.stored.reports, c.stored.findings), "sarif", parsed)
+    place = F.get("r.locations", F.lit(0))["physicalLocation"]
+    suppression = F.get("r.suppressions", F.lit(0))
+    return items.select(
+        "source",
+        "after_comma",
+        F.col("r.ruleId").alias("rule_id"),
+        F.col("r.ruleIndex").alias("rule_index"),
+        F.col("r.level").alias("level"),
+        place["artifactLocation"]["uri"].alias("uri"),
+        place["region"]["startLine"].alias("start_line"),
+        F.col("r.partialFingerprints")[V.FINGERPRINT_KEY].alias("fingerprint"),
+        suppression["kind"].alias("kind"),
+        suppression["justification"].alias("justification"),
+    )
+
+
 @query("s9_sarif_documents")
 def s9_sarif_documents(c: Context) -> DataFrame:
     return documents.sarif_document(c.stored.reports, c.stored.findings).select("source", "part", "rule_ord", "line", "text")
