@@ -18,9 +18,11 @@ from shorewatch.llm.common import materialize
 
 #: Hash buckets, longest n-gram, labelled rows that the fit reads per language, centroids per language.
 BUCKETS, LONGEST, SAMPLE, CENTROIDS = 8192, 3, 400, 4
-#: Upper ends, in letters, of the length bands that have radii of their own; what a radius is widened by, and
-#: the cosine distance up to which nothing is rejected, so that unusual texts of a language stay.
+#: Upper ends, in letters, of the length bands that have radii of their own; what the least cosine is divided
+#: by, and the cosine distance up to which nothing is rejected, so that unusual texts of a language stay.
 BANDS, SLACK, LEAST_RADIUS = (32, 128, 512), 1.25, 0.5
+#: Share of the texts that a radius is drawn around before it is widened, and texts that it is drawn from at least.
+REACHED, FEW_TEXTS = 0.99, 20
 UNDETERMINED = "und"
 
 _letters: list[np.ndarray] = []
@@ -101,6 +103,29 @@ def cluster(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centroids
 
 
+def reach(distance: np.ndarray) -> float:
+    """Radius around a centroid of texts at these distances: never 1 while they share anything with it."""
+    return max(LEAST_RADIUS, 1 - (1 - float(np.quantile(distance, REACHED))) / SLACK)
+
+
+def radii(distance: np.ndarray, nearest: np.ndarray, band: np.ndarray, centroids: int) -> np.ndarray:
+    """Radius by centroid and length band of one language, from its texts' distances to their nearest centroids.
+
+    Where a centroid has few texts of a band, all the language's texts of the band count; a band in which the
+    language has few takes the radius of the next band that has enough, the shorter one of two, or else of all bands together.
+    """
+    bands = range(len(BANDS) + 1)
+    known = {b: reach(distance[band == b]) for b in bands if (band == b).sum() >= FEW_TEXTS}
+    found = np.empty((centroids, len(BANDS) + 1))
+    for b in bands:
+        pooled = known[min(known, key=lambda x: (abs(x - b), x))] if known else reach(distance)
+        for c in range(centroids):
+            own = distance[(band == b) & (nearest == c)]
+            found[c, b] = reach(own) if len(own) >= FEW_TEXTS else pooled
+    # A shorter text is never held to a narrower radius than a longer one.
+    return np.maximum.accumulate(found[:, ::-1], axis=1)[:, ::-1]
+
+
 def labelled_sample(docs: DataFrame, text: Column, label: Column, key: Column, per_label: int) -> DataFrame:
     """At most ``per_label`` rows with letters of each label, chosen by the hash of their key."""
     rows = docs.select(text.alias("text"), label.cast("string").alias("label"), F.xxhash64(key, text).alias("h"))
@@ -130,36 +155,38 @@ def fit(
         for batch in batches:
             kept = []
             for text, label in zip(batch["text"], batch["label"], strict=True):
-                codes = letter_codes(text)
-                if (codes != 0).any():
+                whole = letter_codes(text)
+                ends = np.flatnonzero(whole) + 1
+                # Shorter bands learn their radii from beginnings too; only the whole text makes centroids.
+                for letters in [len(ends)] * bool(len(ends)) + [end // 2 for end in BANDS if end <= len(ends)]:
+                    codes = whole if letters == len(ends) else np.append(whole[: ends[letters - 1]], 0)
                     counts = gram_counts(codes, buckets, longest)
                     at = np.flatnonzero(counts)
-                    kept.append((label, int((codes != 0).sum()), at.astype(np.int32), counts[at].astype(np.int32)))
-            yield pd.DataFrame(kept, columns=["label", "letters", "at", "n"])
+                    kept.append((label, letters, letters == len(ends), at.astype(np.int32), counts[at].astype(np.int32)))
+            yield pd.DataFrame(kept, columns=["label", "letters", "whole", "at", "n"])
 
     # Bounded by the sample: so many rows a label, each of at most one number a bucket.
-    rows = sample.mapInPandas(count, "label string, letters int, at array<int>, n array<int>").toPandas()
+    schema = "label string, letters int, whole boolean, at array<int>, n array<int>"
+    rows = sample.mapInPandas(count, schema).toPandas()
+    whole = rows["whole"].to_numpy(dtype=bool)
     labels = sorted(rows["label"].unique())
     dense = np.zeros((len(rows), buckets), np.float32)
     for i, (at, n) in enumerate(zip(rows["at"], rows["n"], strict=True)):
         dense[i, np.asarray(at, np.int64)] = n
-    idf = (np.log((1 + len(rows)) / (1 + (dense > 0).sum(axis=0))) + 1).astype(np.float32)
+    idf = (np.log((1 + whole.sum()) / (1 + (dense[whole] > 0).sum(axis=0))) + 1).astype(np.float32)
     model = Model(labels, idf, np.zeros((0, buckets), np.float32), np.zeros(0, int), np.zeros((0, 4)), longest)
     vectors = model.vectors(dense)
-    found = [cluster(vectors[(rows["label"] == x).to_numpy()], centroids_per_label) for x in labels]
+    found = [cluster(vectors[whole & (rows["label"] == x).to_numpy()], centroids_per_label) for x in labels]
     if found:
         model.centroids = np.vstack(found).astype(np.float32)
         model.owner = np.repeat(np.arange(len(labels)), [len(x) for x in found])
-        distance = 1 - vectors @ model.centroids.T
         band = np.searchsorted(BANDS, rows["letters"].to_numpy(), side="right")
-        model.radius = np.ones((len(model.centroids), len(BANDS) + 1))
-        for c, owner in enumerate(model.owner):
-            own = (rows["label"] == labels[owner]).to_numpy()
-            for b in range(len(BANDS) + 1):
-                if (own & (band == b)).any():
-                    model.radius[c, b] = min(1.0, max(LEAST_RADIUS, SLACK * float(distance[own & (band == b), c].max())))
-        # A shorter text is never held to a narrower radius than a longer one.
-        model.radius = np.maximum.accumulate(model.radius[:, ::-1], axis=1)[:, ::-1]
+        by_label = []
+        for label, centroids in zip(labels, found, strict=True):
+            own = (rows["label"] == label).to_numpy()
+            distance = 1 - vectors[own] @ centroids.astype(np.float32).T
+            by_label.append(radii(distance.min(axis=1), distance.argmin(axis=1), band[own], len(centroids)))
+        model.radius = np.vstack(by_label)
     return model
 
 
