@@ -206,5 +206,5 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_line_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), equal_chars=1)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
