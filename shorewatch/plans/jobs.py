@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 
 from shorewatch.operators.rollup import report_rows
 from shorewatch.operators.salting import SALTS
 from shorewatch.operators.scan import scan
+from shorewatch.operators.tables import shared_directory
 from shorewatch.sources.rules import RulePack
 
 
@@ -66,7 +67,4 @@ def _written(frame: DataFrame, path: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
-def shared_directory(spark: SparkSession, name: str) -> str:
-    """A folder below ``spark.checkpoint.dir``, or below the warehouse where that is unset; all executors share both."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}"
+__all__ = ["ScanResult", "findings_to_table", "scan_corpus", "scan_to_table", "shared_directory"]
