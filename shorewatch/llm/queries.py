@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shorewatch.llm.common import shared_folder, table
+from shorewatch.llm.decontam import mark_contaminated
 from shorewatch.llm.language import fit, held_out, identify
 from shorewatch.llm.licenses import scan_licenses
 from shorewatch.llm.lines import dedup_lines
@@ -208,3 +209,36 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), equal_chars=1)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query(
+    "op13_decontaminate",
+    r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark WHERE item_id IS NOT NULL
+), w AS (
+  SELECT DISTINCT item_id, size, array_to_string(words[p:p + size - 1], ' ') AS phrase FROM (
+    SELECT item_id, words, least(10, len(words)) AS size, unnest(range(1, len(words) - least(10, len(words)) + 2)) AS p
+    FROM i WHERE len(words) > 0)
+), g AS (
+  SELECT row, p, size, array_to_string(words[p:p + size - 1], ' ') AS phrase FROM (
+    SELECT row, words, size, unnest(range(1, len(words) - size + 2)) AS p
+    FROM d, (SELECT DISTINCT size FROM w) WHERE len(words) >= size)
+), o AS (
+  SELECT g.row, g.p, g.size, w.item_id FROM g JOIN w ON g.size = w.size AND g.phrase = w.phrase
+), h AS (
+  SELECT row, count(DISTINCT place) AS n_hit FROM (SELECT row, unnest(range(p, p + size)) AS place FROM o) GROUP BY row
+), t AS (
+  SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT row, item_id::VARCHAR AS item FROM o) GROUP BY row
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN h ON h.row = d.row LEFT JOIN t ON t.row = d.row""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mark_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
