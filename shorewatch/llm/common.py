@@ -5,6 +5,7 @@ from __future__ import annotations
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -32,3 +33,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def item_table(items: DataFrame, id_col: str, text_col: str, at_once: int) -> tuple[DataFrame, int]:
+    """Distinct (id as text, text, block) of the items that have both, and the number of blocks.
+
+    A block, about ``at_once`` bytes of whole items, is what one pass over the documents looks at; the rows of an
+    item are in one block.
+    """
+    rows = items.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = rows.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).distinct()
+    blocks = max(1, -(-int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // at_once))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    return (materialize(rows, "items") if blocks > 1 else rows), blocks

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shorewatch.llm.common import materialize
+from shorewatch.llm.common import item_table, materialize
 from shorewatch.llm.repeats import suffix_order
 from shorewatch.llm.words import ragged, raw_texts, words
 
@@ -203,15 +203,6 @@ def groups(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
         yield int(keys[a]), slice(a, b)
 
 
-def item_table(items: DataFrame, id_col: str, text_col: str, at_once: int) -> tuple[DataFrame, int]:
-    """Distinct (id, text, block) of the items that have both, and the number of blocks; a block is what one pass looks at."""
-    rows = items.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).distinct()
-    blocks = max(1, -(-int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // at_once))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)))
-    return (materialize(rows, "items") if blocks > 1 else rows), blocks
-
-
 def item_block(rows: DataFrame, block: int, window: int) -> TestSuffixes:
     own = rows.where(F.col("block") == block).select("id", "text").collect()
     return TestSuffixes.of(sorted((r["id"], r["text"]) for r in own), window)

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shorewatch.llm.common import shared_folder, table
+from shorewatch.llm.common import materialize, shared_folder, table
+from shorewatch.llm.convtrie import branched, conversation_ids, numbered_turns, prefix_trie
 from shorewatch.llm.decontam import mark_contaminated
+from shorewatch.llm.lexical import rank_documents
 from shorewatch.llm.language import fit, held_out, identify
 from shorewatch.llm.licenses import scan_licenses
 from shorewatch.llm.lines import dedup_lines
@@ -211,6 +213,52 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+@query(
+    "op11_conversation_trie",
+    r"""
+WITH o AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id
+    ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS place FROM conversations WHERE conv_id IS NOT NULL
+), t AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY place) AS turns FROM o GROUP BY conv_id
+), c AS (
+  SELECT conv_id, turns, conv_id - conv_id % 5 AS origin, (4294967295 - list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(range(0, 8 * len(conv_id::VARCHAR)), lambda i: CASE WHEN i % 8 = 0
+      THEN 256 + ascii(substr(conv_id::VARCHAR, 1 + i // 8, 1)) ELSE 0 END::BIGINT)),
+    lambda x, y: CASE WHEN (xor(x, y % 256) & 1) = 1 THEN xor(xor(x, y % 256) >> 1, 3988292384::BIGINT)
+      ELSE xor(x, y % 256) >> 1 END)) % 9 AS head FROM t
+), r AS (
+  SELECT c.conv_id, list_concat(coalesce(b.turns, [])[1:c.head], c.turns[c.head + 1:]) AS turns
+  FROM c LEFT JOIN t b ON b.conv_id = c.origin
+), p AS (
+  SELECT conv_id, depth, turns[1:depth] AS path, CASE WHEN depth > 0 THEN octet_length(encode(turns[depth].text)) ELSE 0 END AS bytes,
+    depth = len(turns) AS last FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS depth FROM r)
+), n AS (
+  SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, min(bytes) AS bytes,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256
+  FROM p GROUP BY depth, path
+), k AS (
+  SELECT a.depth, a.path, a.conv_id AS parent, (SELECT count(*) FROM n b WHERE b.depth = a.depth + 1 AND b.path[1:a.depth] = a.path) AS n_children
+  FROM n a
+), u AS (
+  SELECT n.*, k.n_children FROM n JOIN k ON k.depth = n.depth AND k.path = n.path
+), up AS (
+  SELECT n_children, n_convs, bytes, unnest(range(0, depth + 1)) AS level, path FROM u
+), s AS (
+  SELECT level, path[1:level] AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * bytes)::BIGINT AS saved_tokens
+  FROM up GROUP BY 1, 2
+)
+SELECT u.conv_id, u.depth, v.conv_id AS parent_conv_id, u.n_convs, u.n_children, s.n_leaves, s.saved_tokens, u.ends_sha256
+FROM u JOIN s ON s.level = u.depth AND s.path = u.path LEFT JOIN n v ON v.depth = u.depth - 1 AND v.path = u.path[1:u.depth - 1]""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    ids, key = conversation_ids(conversations), F.col("conv_id")
+    turns = materialize(numbered_turns(conversations), "turns")
+    rebuilt = branched(turns, ids, F.crc32(key.cast("string").cast("binary")) % 9, key - key % 5, most=8)
+    return prefix_trie(rebuilt, ids)
+
+
 @query(
     "op13_decontaminate",
     r"""
@@ -242,3 +290,34 @@ FROM d LEFT JOIN h ON h.row = d.row LEFT JOIN t ON t.row = d.row""",
 )
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(
+    "op12_lexical_search",
+    r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents WHERE text IS NOT NULL
+), s AS (
+  SELECT count(*)::BIGINT AS n_all, sum(len(terms))::BIGINT AS l_all FROM d WHERE len(terms) > 0
+), q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE item_id IS NOT NULL
+), p AS (
+  SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM d) GROUP BY row, term
+), w AS (
+  SELECT term, floor(1000 * ln((2 * n_all + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM p GROUP BY term), s
+), m AS (
+  SELECT row, doc_id, 10 + (90 * len(terms)::BIGINT * n_all) // l_all AS m FROM d, s WHERE len(terms) > 0
+), r AS (
+  SELECT q.item_id, m.doc_id, m.row, sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * m.m)))::BIGINT AS score
+  FROM q JOIN p ON p.term = q.term JOIN w ON w.term = p.term JOIN m ON m.row = p.row GROUP BY q.item_id, m.doc_id, m.row
+), t AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score
+  FROM r WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM t WHERE rank <= 10""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -19,7 +19,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(Q.ORACLES))
 def test_query_equals_sql(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "conversations"):
         duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     ours, theirs = Q.QUERIES[name](spark, SF), duck.sql(Q.ORACLES[name])
     columns = sorted(ours.columns)
