@@ -227,7 +227,9 @@ def subtree_totals(nodes: DataFrame, lookup: DataFrame, in_task: int = IN_TASK)
         return nodes.select("owner", "depth", *TOTALS)
     state = nodes.withColumns(
         {"top": F.lit(root["top"]).cast("long"), "top_depth": zero, "total": F.lit(root["total"]).cast("long")} | {f"add_{t}": zero for t in TOTALS}
-    ).select(*STATE)
+    )
+    # Written, so that the one top is a key like any other and not a constant that joins lose.
+    state = materialize(state.select(*STATE), "state")
     done, small, most = [], [], root["total"]
     while most > in_task:
         now, rest = split(state, lookup)
