@@ -46,3 +46,15 @@ def item_table(items: DataFrame, id_col: str, text_col: str, at_once: int) -> tu
     blocks = max(1, -(-int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // at_once))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
     return (materialize(rows, "items") if blocks > 1 else rows), blocks
+
+
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """Names like those wanted that no column has, letter case aside."""
+    used = {c.lower() for c in taken}
+    found = []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        found.append(name)
+    return found

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shorewatch.llm.common import materialize
+from shorewatch.llm.common import free_names, materialize
 
 #: Hash buckets, longest n-gram, labelled rows that the fit reads per language, centroids per language.
 BUCKETS, LONGEST, SAMPLE, CENTROIDS = 8192, 3, 400, 4
@@ -23,6 +23,8 @@ BUCKETS, LONGEST, SAMPLE, CENTROIDS = 8192, 3, 400, 4
 BANDS, SLACK, LEAST_RADIUS = (32, 128, 512), 1.25, 0.5
 #: Share of the texts that a radius is drawn around before it is widened, and texts that it is drawn from at least.
 REACHED, FEW_TEXTS = 0.99, 20
+#: Sample rows that are made dense at once beside the whole texts of a label.
+AT_ONCE = 256
 UNDETERMINED = "und"
 
 _letters: list[np.ndarray] = []
@@ -89,6 +91,14 @@ class Model:
         return pd.DataFrame({"lang_pred": label, "score": score, "rejected": rejected})
 
 
+def sparse_rows(model: Model, rows: pd.DataFrame) -> np.ndarray:
+    """Vectors of rows that list their filled buckets."""
+    dense = np.zeros((len(rows), len(model.idf)), np.float32)
+    for i, (at, n) in enumerate(zip(rows["at"], rows["n"], strict=True)):
+        dense[i, np.asarray(at, np.int64)] = n
+    return model.vectors(dense)
+
+
 def cluster(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Spherical k-means, begun with the mean and then the row farthest from all centroids so far."""
     unit = lambda m: m / np.maximum(np.sqrt((m**2).sum(axis=1, keepdims=True)), 1e-12)
@@ -135,7 +145,7 @@ def labelled_sample(docs: DataFrame, text: Column, label: Column, key: Column, p
     order = Window.partitionBy("label").orderBy("h")
     ranked = rows.select("label", "h").withColumn("rank", F.row_number().over(order))
     chosen = materialize(ranked.where(F.col("rank") <= per_label).select("label", "h").distinct(), "sample")
-    return rows.join(F.broadcast(chosen), ["label", "h"])
+    return rows.join(chosen, ["label", "h"])
 
 
 def fit(
@@ -165,28 +175,39 @@ def fit(
                     kept.append((label, letters, letters == len(ends), at.astype(np.int32), counts[at].astype(np.int32)))
             yield pd.DataFrame(kept, columns=["label", "letters", "whole", "at", "n"])
 
-    # Bounded by the sample: so many rows a label, each of at most one number a bucket.
     schema = "label string, letters int, whole boolean, at array<int>, n array<int>"
-    rows = sample.mapInPandas(count, schema).toPandas()
-    whole = rows["whole"].to_numpy(dtype=bool)
-    labels = sorted(rows["label"].unique())
-    dense = np.zeros((len(rows), buckets), np.float32)
-    for i, (at, n) in enumerate(zip(rows["at"], rows["n"], strict=True)):
-        dense[i, np.asarray(at, np.int64)] = n
-    idf = (np.log((1 + whole.sum()) / (1 + (dense[whole] > 0).sum(axis=0))) + 1).astype(np.float32)
-    model = Model(labels, idf, np.zeros((0, buckets), np.float32), np.zeros(0, int), np.zeros((0, 4)), longest)
-    vectors = model.vectors(dense)
-    found = [cluster(vectors[whole & (rows["label"] == x).to_numpy()], centroids_per_label) for x in labels]
-    if found:
-        model.centroids = np.vstack(found).astype(np.float32)
-        model.owner = np.repeat(np.arange(len(labels)), [len(x) for x in found])
-        band = np.searchsorted(BANDS, rows["letters"].to_numpy(), side="right")
-        by_label = []
-        for label, centroids in zip(labels, found, strict=True):
-            own = (rows["label"] == label).to_numpy()
-            distance = 1 - vectors[own] @ centroids.astype(np.float32).T
-            by_label.append(radii(distance.min(axis=1), distance.argmin(axis=1), band[own], len(centroids)))
-        model.radius = np.vstack(by_label)
+    rows = materialize(sample.mapInPandas(count, schema), "grams")
+    # One number a bucket; the texts' counts stay in the tasks, and each label is fitted in one of its own.
+    whole = rows.where("whole")
+    idf, texts = np.zeros(buckets, np.float32), whole.count()
+    for bucket, held in whole.select(F.explode("at").alias("at")).groupBy("at").count().collect():
+        idf[bucket] = held
+    idf = (np.log((1 + texts) / (1 + idf)) + 1).astype(np.float32)
+    model = Model([], idf, np.zeros((0, buckets), np.float32), np.zeros(0, int), np.zeros((0, len(BANDS) + 1)), longest)
+
+    def fit_label(own: pd.DataFrame) -> pd.DataFrame:
+        # Rows in an order of their own, so that sums come out the same in every run.
+        own = own.assign(order=[(np.asarray(a).tobytes(), np.asarray(n).tobytes()) for a, n in zip(own["at"], own["n"], strict=True)])
+        own = own.sort_values(["letters", "order"])
+        is_whole = own["whole"].to_numpy(dtype=bool)
+        centroids = cluster(sparse_rows(model, own[is_whole]), centroids_per_label).astype(np.float32)
+        # Beginnings are looked at a few at a time.
+        cosine = np.vstack([sparse_rows(model, own.iloc[i : i + AT_ONCE]) @ centroids.T for i in range(0, len(own), AT_ONCE)])
+        band = np.searchsorted(BANDS, own["letters"].to_numpy(), side="right")
+        found = radii(1 - cosine.max(axis=1), cosine.argmax(axis=1), band, len(centroids))
+        return pd.DataFrame({"label": own["label"].iloc[0], "centroid": [c.tobytes() for c in centroids], "radius": list(found)})
+
+    fitted = rows.groupBy("label").applyInPandas(fit_label, "label string, centroid binary, radius array<double>")
+    # A few centroids and radii for each label.
+    centroids, radius, owner = [], [], []
+    for row in materialize(fitted.select("*", F.monotonically_increasing_id().alias("place")), "centroids").orderBy("label", "place").toLocalIterator():
+        if not model.labels or model.labels[-1] != row["label"]:
+            model.labels.append(row["label"])
+        owner.append(len(model.labels) - 1)
+        centroids.append(np.frombuffer(row["centroid"], np.float32))
+        radius.append(row["radius"])
+    if centroids:
+        model.centroids, model.owner, model.radius = np.vstack(centroids), np.array(owner), np.array(radius)
     return model
 
 
@@ -203,8 +224,9 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         return model.predict(texts)
 
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    return docs.select(*rest, predict(F.col(text_col)).alias("_predicted")).select(
-        *rest, *[F.col(f"_predicted.{c}").alias(c) for c in ("lang_pred", "score", "rejected")]
+    (found,) = free_names(docs.columns, "_predicted")
+    return docs.select(*rest, predict(F.col(text_col)).alias(found)).select(
+        *rest, *[F.col(f"`{found}`.{c}").alias(c) for c in ("lang_pred", "score", "rejected")]
     )
 
 
