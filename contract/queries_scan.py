@@ -80,7 +80,7 @@ def text_corpus(c: Context) -> DataFrame:
         F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"), F.lit(".chat")),
         F.col("text"),
     )
-    return docs.unionAll(pages).unionAll(chats)
+    return sources.spread(docs.unionAll(pages).unionAll(chats))
 
 
 def text_pack() -> RulePack:
@@ -125,6 +125,48 @@ def s2_text_corpus_scan(c: Context) -> DataFrame:
     )
 
 
+#: A pack of generated rules: three syllables each, in four forms of pattern.
+_SYLLABLES = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar".split()
+_LARGE, _STEP = 2000, 7919
+_FORMS = [r"\b{}\b", r"{}\w*e", r"(?i){}[.,]", r"\b{}\s+\w+\.$"]
+
+
+def large_pack() -> RulePack:
+    """2,000 patterns on one language."""
+    n = len(_SYLLABLES)
+    rules = [{"id": "lang-text", "language": "text", "extensions": [".txt"], "pattern": r"\x{10FFFF}", "severity": "INFO"}]
+    for i in range(_LARGE):
+        at = i * _STEP % n**3
+        word = _SYLLABLES[at // n**2] + _SYLLABLES[at // n % n] + _SYLLABLES[at % n]
+        rules.append({"id": f"large-{i}", "language": "text", "pattern": _FORMS[i % 4].format(word), "severity": "INFO"})
+    return RulePack(_clean({"quantum_threat": "unknown", "primitive": "other", **r}) for r in rules)
+
+
+@query(
+    "p3_large_pack",
+    f"""WITH texts AS (
+      SELECT coalesce(source, '') AS source, CAST(doc_id AS VARCHAR) || '.txt' AS file, coalesce("text", '') AS content FROM documents
+    ), syllables AS (SELECT {strings(_SYLLABLES)} AS s), rules AS (
+      SELECT i, s[1 + k // {len(_SYLLABLES) ** 2}] || s[1 + k // {len(_SYLLABLES)} % {len(_SYLLABLES)}] || s[1 + k % {len(_SYLLABLES)}] AS word
+      FROM (SELECT i, i * {_STEP} % {len(_SYLLABLES) ** 3} AS k FROM range({_LARGE}) AS r(i)), syllables
+    ), l AS ({O.lines_of("texts")}), near AS MATERIALIZED (
+      SELECT l.*, r.i, r.word FROM l JOIN rules r ON contains(lower(l.line), r.word)
+    )
+    SELECT source, file, 'large-' || CAST(i AS VARCHAR) AS rule_id, CAST(line_no AS BIGINT) AS line FROM near
+    WHERE CASE i % 4 """
+    + " ".join(f"WHEN {k} THEN regexp_matches(line, {' || word || '.join(lit(x) for x in form.split('{}'))})" for k, form in enumerate(_FORMS))
+    + " END",
+)
+def p3_large_pack(c: Context) -> DataFrame:
+    """All documents against a pack whose size does not show in the cost of a file without matches."""
+    from shorewatch.operators.scan import match_rules, select_files
+
+    pack, texts = large_pack(), c.table("documents")
+    files = sources.files_from_table(texts, F.col("source"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")), F.col("text"))
+    line = (F.col("pos") + 1).cast("bigint").alias("line")
+    return match_rules(select_files(sources.spread(files), pack), pack).select("source", "file", "rule_id", line)
+
+
 @query(
     "p1_detect_language",
     O.from_corpus(

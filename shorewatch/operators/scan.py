@@ -8,7 +8,7 @@ runs on a stream.
 from __future__ import annotations
 
 import json
-from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,10 +17,16 @@ from shorewatch import model
 from shorewatch import values as V
 from shorewatch.functions import exemptions as ex
 from shorewatch.functions import text
+from shorewatch.functions.literals import prefix_tree, presence, quoted, smallest
 from shorewatch.operators.exemptions import apply_config
 from shorewatch.operators.salting import SALTS
 from shorewatch.sources.rules import MAX_BROADCAST_BYTES, RulePack, table
 
+#: Rules of a language up to which each is tried on each line, and literals of a rule up to which the line is searched first.
+GROUP, GUARDS = 32, 4
+#: Before keys that are looked for in lower case.
+_FOLDED = "\x01"
+
 _EXT = model._fields(("ext", model.S), ("lang", model.S))
 _ATTRIBUTES = model._fields(
     ("rule_ord", model.I),
@@ -53,30 +59,107 @@ def _by_language(pack: RulePack) -> dict[str, list[dict]]:
     return found
 
 
-def _case(column: str, branches: dict[str, Column], otherwise: Column) -> Column:
-    case = reduce(lambda c, kv: c.when(F.col(column) == kv[0], kv[1]), branches.items(), F.when(F.lit(False), otherwise))
-    return case.otherwise(otherwise)
+def _case(column: str, branches: dict[str, str], otherwise: str) -> str:
+    whens = " ".join(f"WHEN {quoted(value)} THEN {branch}" for value, branch in branches.items())
+    return f"CASE {column} {whens} ELSE {otherwise} END" if whens else otherwise
+
+
+def _any_text(rows: list[dict]) -> str:
+    """Whether a whole text may hold a match; true where a pattern has no form for whole texts."""
+    if not all(r["text_rx"] for r in rows):
+        return "true"
+    return f"rlike(content, {quoted('|'.join(f'(?:{r["text_rx"]})' for r in rows))})"
 
 
 def _worth_splitting(languages: dict[str, list[dict]]) -> Column:
-    """One test of the whole text for each language whose patterns all have a form for whole texts."""
-    tests = {
-        lang: F.rlike("content", F.lit("|".join(f"(?:{r['text_rx']})" for r in rows)))
-        for lang, rows in languages.items()
-        if all(r["text_rx"] for r in rows)
-    }
-    return F.col("lang").isin(*languages) & _case("lang", tests, F.lit(True))
+    """Whether a text holds a literal that one of its language's patterns requires and, for a few patterns, one of them matches it.
 
+    The literals of all patterns are one test, so what a file without any costs does not depend on the pack.
+    """
+    tests = {}
+    for lang, rows in languages.items():
+        free = [r for r in rows if r["need"] is None]
+        held = presence("content", [r["need"] for r in rows if r["need"] is not None])
+        tests[lang] = f"({held} OR {_any_text(free)})" if free else held
+        if len(rows) <= GROUP:
+            tests[lang] += f" AND {_any_text(rows)}"
+    return F.col("lang").isin(*languages) & F.expr(_case("lang", tests, "false"))
 
-def _hits(languages: dict[str, list[dict]]) -> Column:
-    """Numbers of the rules that match the line; patterns are literals, so each is compiled once a task."""
-    none = F.array().cast("array<int>")
-    found = {
-        lang: F.array(*[F.when(F.rlike("text", F.lit(r["line_rx"])), F.lit(r["ord"])) for r in own])
-        for lang, rows in languages.items()
-        if (own := [r for r in rows if not r["recursive"]])
-    }
-    return F.filter(_case("lang", found, none), lambda n: n.isNotNull())
+
+def _rule_test(rule: dict) -> str:
+    """The rule's number where it matches the line; the pattern, a literal compiled once a task, runs where its literals are."""
+    test = f"rlike(text, {quoted(rule['line_rx'])})"
+    if rule["need"] is not None and len(rule["need"].literals) <= GUARDS:
+        test = f"{presence('text', [rule['need']])} AND {test}"
+    return f"CASE WHEN {test} THEN {rule['ord']} END"
+
+
+def _unrolled(rows: list[dict]) -> list[dict]:
+    """Rules that are tried one by one on each line: all of a small pack, of a large one those without literals."""
+    kept = [r for r in rows if not r["recursive"]]
+    return kept if len(kept) <= GROUP else [r for r in kept if r["need"] is None]
+
+
+def _hits(languages: dict[str, list[dict]]) -> str:
+    """Numbers of the rules that match the line, of those that are tried one by one."""
+    found = {lang: f"array({', '.join(map(_rule_test, own))})" for lang, rows in languages.items() if (own := _unrolled(rows))}
+    return f"filter({_case('lang', found, 'CAST(array() AS array<int>)')}, n -> n IS NOT NULL)"
+
+
+class _Index(NamedTuple):
+    """Literals of the rules of large packs: what finds them in a line, and the rules of each."""
+
+    found: str
+    rules: list[dict]
+
+
+_KEYED = model._fields(("k_lang", model.S), ("key", model.S), ("k_ord", model.I), ("line_rx", model.S), ("keys", model.T.ArrayType(model.S)))
+
+
+def _indexed(languages: dict[str, list[dict]]) -> _Index | None:
+    found, rules = {}, []
+    for lang, rows in languages.items():
+        kept = [r for r in rows if not r["recursive"]]
+        own = [r for r in kept if r["need"] is not None] if len(kept) > GROUP else []
+        parts = []
+        for folded, subject, mark in ((False, "text", ""), (True, "lower(text)", _FOLDED)):
+            these = [r for r in own if r["need"].folded == folded]
+            if not these:
+                continue
+            least = smallest({x for r in these for x in r["need"].literals})
+            # The look-ahead finds the literals of every place, overlapping ones too.
+            places = f"regexp_extract_all({subject}, {quoted(f'(?=({prefix_tree(least)}))')}, 1)"
+            parts.append(f"transform({places}, x -> concat({quoted(mark)}, x))" if mark else places)
+            for r in these:
+                keys = sorted({mark + next(x for x in least if text.startswith(x)) for text in r["need"].literals})
+                rules += [{"k_lang": lang, "key": k, "k_ord": r["ord"], "line_rx": r["line_rx"], "keys": keys} for k in keys]
+        if parts:
+            found[lang] = f"array_distinct(concat({', '.join(parts)}))"
+    return _Index(_case("lang", found, "CAST(array() AS array<string>)"), rules) if found else None
+
+
+def _by_index(lines: DataFrame, index: _Index) -> DataFrame:
+    """Adds ``rule_ord`` to lines with ``hits``: one row for each match.
+
+    Literals of a line meet their rules in a join, and only those patterns are tried: what a line costs does not
+    grow with the pack.  A rule of which a line holds several literals is tried with the first.
+    """
+    spark = lines.sparkSession
+    rules = table(spark, index.rules, _KEYED)
+    small = sum(len(r["line_rx"]) + 64 for r in index.rules) <= MAX_BROADCAST_BYTES
+    candidates = F.expr(
+        "concat(transform(hits, n -> named_struct('ord', n, 'key', '')), transform(found, k -> named_struct('ord', -1, 'key', k)))"
+    )
+    met = (
+        lines.withColumn("found", F.expr(index.found))
+        .where("size(hits) > 0 OR size(found) > 0")
+        .withColumn("candidate", F.explode(candidates))
+        .join(F.broadcast(rules) if small else rules, (F.col("lang") == F.col("k_lang")) & (F.col("candidate.key") == F.col("key")), "left")
+    )
+    first = "key = array_min(array_intersect(keys, found))"
+    number = f"CASE WHEN candidate.ord >= 0 THEN candidate.ord WHEN {first} AND rlike(text, line_rx) THEN k_ord END"
+    met = met.withColumn("rule_ord", F.expr(number)).where("rule_ord IS NOT NULL")
+    return met.drop("found", "candidate", *[f.name for f in _KEYED.fields])
 
 
 def _linear_hits(languages: dict[str, list[dict]]):
@@ -122,21 +205,19 @@ def match_rules(files: DataFrame, pack: RulePack) -> DataFrame:
         .withColumn("lines", text.lines(F.col("content")))
         .drop("content")
     )
-    hits = _hits(languages)
+    hits = F.expr(_hits(languages))
     if any(r["recursive"] for rows in languages.values() for r in rows):
         split = split.withColumn("linear", _linear_hits(languages)("lang", "lines"))
         here = F.transform(F.filter("linear", lambda h: h["pos"] == F.col("pos")), lambda h: h["ord"])
         hits = F.concat(hits, here)
-    matched = (
-        # The outer form only keeps the optimizer from splitting every file in an
-        # inferred "has lines" filter; files without lines fall out in the match.
-        split.select("*", F.posexplode_outer("lines").alias("pos", "text"))
-        .withColumn("hits", hits)
-        .where(F.size("hits") > 0)
-        .withColumn("rule_ord", F.explode("hits"))
-        .drop("hits", "linear")
-    )
-    return _attributes(matched, pack)
+    # The outer form only keeps the optimizer from splitting every file in an
+    # inferred "has lines" filter; files without lines fall out in the match.
+    tried = split.select("*", F.posexplode_outer("lines").alias("pos", "text")).withColumn("hits", hits)
+    if index := _indexed(languages):
+        matched = _by_index(tried, index)
+    else:
+        matched = tried.where(F.size("hits") > 0).withColumn("rule_ord", F.explode("hits"))
+    return _attributes(matched.drop("hits", "linear"), pack)
 
 
 def _attributes(matched: DataFrame, pack: RulePack) -> DataFrame:

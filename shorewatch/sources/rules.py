@@ -20,6 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from shorewatch import model
 from shorewatch import values as V
 from shorewatch.functions.dialect import PatternError, to_java
+from shorewatch.functions.literals import required
 
 FIELDS = [name for name, _ in model.RULE_FIELDS]
 MAX_BROADCAST_BYTES = 8 << 20
@@ -148,14 +149,9 @@ class RulePack:
     def matchers(self) -> list[dict]:
         """One row per (rule, language); a rule without language applies to all of them."""
         languages = sorted(set(self.extension_map.values()))
-        return [
-            {
-                **rule,
-                "lang": language,
-                "line_rx": to_java(rule["pattern"]).line,
-                "text_rx": to_java(rule["pattern"]).text,
-                "recursive": to_java(rule["pattern"]).recursive,
-            }
-            for rule in self.rules
-            for language in ([rule["language"]] if rule["language"] else languages)
-        ]
+        found = []
+        for rule in self.rules:
+            java = to_java(rule["pattern"])
+            forms = {"line_rx": java.line, "text_rx": java.text, "recursive": java.recursive, "need": required(rule["pattern"])}
+            found += [{**rule, "lang": language, **forms} for language in ([rule["language"]] if rule["language"] else languages)]
+        return found
