@@ -259,7 +259,7 @@ def p7_snippet(c: Context) -> DataFrame:
         "file",
         "rule_id",
         line.cast("bigint").alias("line"),
-        F.sha2(text.snippet(F.col("lines"), line), 256).alias("snippet"),
+        F.sha2("snippet", 256).alias("snippet"),
     )
 
 
@@ -409,8 +409,8 @@ def p10_expiry(c: Context) -> DataFrame:
     ),
 )
 def s5_config_exemptions(c: Context) -> DataFrame:
-    return exops.valid_exemptions(c.exemptions).select("source", F.explode("listed").alias("e")).select(
-        "source", F.col("e.ord").cast("bigint").alias("ord"), "e.rule", "e.reason", "e.owner", "e.until"
+    return exops.valid_exemptions(c.exemptions).select(
+        "source", F.col("ord").cast("bigint").alias("ord"), "rule", "reason", "owner", "until"
     )
 
 
@@ -441,8 +441,8 @@ def j5_config_exemptions(c: Context) -> DataFrame:
 
 @query("j5_config_exemptions_salted", _CONFIG_SQL)
 def j5_config_exemptions_salted(c: Context) -> DataFrame:
-    """The form for exemption tables too large to broadcast."""
-    return _config_columns(scan(c.corpus, c.pack, c.as_of, c.exemptions, salts=8))
+    """The form for exemption tables too large for every task."""
+    return _config_columns(scan(c.corpus, c.pack, c.as_of, c.exemptions, collect_bytes=0))
 
 
 @query(

@@ -37,46 +37,16 @@ def annotation(line: Column) -> Column:
     return F.when(~is_blank(parsed["reason"]), parsed)
 
 
-# A neighbouring text line is searched in windows of growing reach.  Each window is at
-# most a constant factor longer than the run of blank lines it has to cross, and such
-# runs do not overlap, so the whole search stays linear in the file.
-_REACH = (256, 1 << 30)
-_LEADING_SPACE = rf"\A[{V.SPACE_CLASS}]+"
+def text_line_above(lines: Column) -> Column:
+    """For each line the 0-based number of the last non-blank line above it, -1 where there is none.
 
-
-def lines_above(lines: Column, position: Column) -> Column:
-    """The lines above the 0-based ``position``, as far up as needed to include a non-blank one.
-
-    Usually that is one line.  NULL if everything above is blank.
+    One pass over the file: each non-blank line is the answer for all lines up to the next one.  Take it before
+    lines are exploded; a look-up by number then costs the same however long a run of blank lines is.
     """
-
-    def within(reach: int) -> Column:
-        window = F.slice(lines, F.greatest(position - (reach - 1), F.lit(1)), F.least(position, F.lit(reach)))
-        return F.when(~is_blank(F.array_join(window, "")), window)
-
-    return F.when(position > 0, F.coalesce(*[within(reach) for reach in (1, *_REACH)]))
-
-
-def last_text_line(lines: Column) -> Column:
-    """Last non-blank line of an array that has one."""
-    return F.when(F.size(lines) == 1, F.get(lines, F.lit(0))).otherwise(
-        F.try_element_at(F.filter(lines, lambda line: ~is_blank(line)), F.lit(-1))
-    )
-
-
-def text_line_below(lines: Column, position: Column) -> Column:
-    """1-based number of the next non-blank line below the 0-based ``position``; NULL if there is none."""
-
-    def within(reach: int) -> Column:
-        joined = F.array_join(F.slice(lines, position + 2, F.lit(reach)), "\n")
-        kept = F.regexp_replace(joined, _LEADING_SPACE, "")
-        skipped = F.substring(joined, F.lit(1), F.length(joined) - F.length(kept))
-        breaks = F.length(skipped) - F.length(F.replace(skipped, F.lit("\n"), F.lit("")))
-        return F.when(kept != "", position + 2 + breaks)
-
-    searched = F.coalesce(*[within(reach) for reach in _REACH])
-    following = F.get(lines, position + 1)
-    return F.when(following.isNotNull(), F.when(is_blank(following), searched).otherwise(position + 2))
+    numbers = F.filter(F.transform(lines, lambda line, i: F.when(~is_blank(line), i)), lambda i: i.isNotNull())
+    ends = F.concat(F.array(F.lit(-1)), numbers)
+    limits = F.concat(numbers, F.array(F.size(lines) - 1))
+    return F.flatten(F.zip_with(ends, limits, lambda own, limit: F.array_repeat(own, limit - F.greatest(own, F.lit(-1)))))
 
 
 def glob_regex(pattern: Column) -> Column:

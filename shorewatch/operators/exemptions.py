@@ -2,31 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shorewatch import values as V
 from shorewatch.functions import exemptions as ex
 from shorewatch.functions import text
-from shorewatch.operators.salting import SALTS, salted_join
+from shorewatch.functions.globs import GlobTree
+from shorewatch.operators.tables import written
+from shorewatch.sources.rules import MAX_BROADCAST_BYTES
 
 
 def annotations(files: DataFrame) -> DataFrame:
     """Accepted annotations: ``(source, file, line, target_line, rule_id, reason, until)``.
 
-    The target is the next non-blank line.  Only files containing the marker are split.
+    The target is the next non-blank line.  Only files containing the marker are split; of those the lines that
+    are not blank are numbered in one pass, and an annotation's target is the next of them.
     """
+    kept = F.transform("lines", lambda line, i: F.struct(i.alias("pos"), line.alias("text")))
     return (
         files.where(F.contains("content", F.lit(V.MARKER)))
         .withColumn("lines", text.lines(F.col("content")))
-        .select("source", "file", "lines", F.posexplode_outer("lines").alias("pos", "text"))
-        .where(ex.has_marker(F.col("text")))
+        .withColumn("kept", F.filter(kept, lambda x: ~text.is_blank(x["text"])))
+        .select("source", "file", "kept", F.posexplode_outer("kept").alias("nth", "own"))
+        .where(ex.has_marker(F.col("own.text")))
         .select(
             "source",
             "file",
-            (F.col("pos") + 1).alias("line"),
-            ex.text_line_below(F.col("lines"), F.col("pos")).alias("target_line"),
-            "text",
+            (F.col("own.pos") + 1).alias("line"),
+            (F.get("kept", F.col("nth") + 1)["pos"] + 1).alias("target_line"),
+            F.col("own.text").alias("text"),
         )
         .where(F.col("target_line").isNotNull())
         .withColumn("note", ex.annotation(F.col("text")))
@@ -61,43 +68,110 @@ def apply_annotations(findings: DataFrame, notes: DataFrame, as_of: Column) -> D
     return joined.withColumns({"exemption": exemption, "status": status}).select(*findings.columns)
 
 
-def valid_exemptions(exemptions: DataFrame) -> DataFrame:
-    """One row per source with its ordered list; a blank reason voids the whole list.
+ENTRY = "array<struct<ord: int, rule: string, reason: string, owner: string, until: string>>"
+_ENTRY_FIELDS = ("ord", "rule", "path", "reason", "owner", "until")
+#: Files of a source that one task compares with its list at once.
+FILES_AT_ONCE = 50_000
 
-    A list is the content of one configuration file, so it stays small.
-    """
+
+def valid_exemptions(exemptions: DataFrame) -> DataFrame:
+    """Entries of all sources whose every entry has a reason; a blank one voids the whole list of its source."""
     blank = F.coalesce(text.is_blank(F.col("reason")), F.lit(True))
-    entry = F.struct(
-        "ord",
-        F.coalesce("rule", F.lit("")).alias("rule"),
-        ex.glob_regex(F.col("path")).alias("rx"),
-        "reason",
-        "owner",
-        "until",
-    )
-    return (
-        exemptions.groupBy("source")
-        .agg(F.array_sort(F.collect_list(entry)).alias("listed"), F.bool_or(blank).alias("void"))
-        .where(~F.col("void"))
-        .drop("void")
-    )
+    void = exemptions.where(blank).select("source").distinct()
+    kept = exemptions.join(void, "source", "left_anti")
+    return kept.select("source", "ord", *[F.coalesce(c, F.lit("")).alias(c) for c in ("rule", "path")], "reason", "owner", "until")
 
 
-def apply_config(findings: DataFrame, exemptions: DataFrame, as_of: Column, salts: int = SALTS) -> DataFrame:
-    """First matching entry of the source's list decides; annotated findings stay as they are.
+class ExemptionList:
+    """Entries of one source in their order, and which of them can decide about the findings of a file."""
+
+    def __init__(self, rows: Iterable[tuple]):
+        rows = sorted(rows, key=lambda r: r[0])
+        self.tree = GlobTree([r[2] for r in rows])
+        self.entries = [dict(zip(("ord", "rule", "reason", "owner", "until"), (r[0], r[1], *r[3:]), strict=True)) for r in rows]
+
+    def deciding(self, file: str) -> list[dict]:
+        """Entries that match the path: of each rule the first, and none behind the first for all rules."""
+        found, rules = [], set()
+        for n in self.tree.match(file):
+            entry = self.entries[n]
+            if entry["rule"] not in rules:
+                rules.add(entry["rule"])
+                found.append(entry)
+                if not entry["rule"]:
+                    break
+        return found
 
-    Spark broadcasts the lists when they are small enough by its own statistics and
-    shuffles by source otherwise; ``salts`` then spreads a dominant source over that
-    many partitions.
-    """
-    lists = valid_exemptions(exemptions)
 
-    def matches(entry: Column) -> Column:
-        rule_fits = (entry["rule"] == "") | (entry["rule"] == F.col("rule_id"))
-        return rule_fits & ((entry["rx"] == "") | ex.glob_matches(entry["rx"], F.col("file")))
+def _looked_up(lists: dict[str, list[tuple]]):
+    """Deciding entries by source and file, for lists that every task can hold; a file is compared once a batch."""
+    built: dict[str, ExemptionList] = {}
 
-    chosen = F.when(F.col("status") == V.ACTIVE, F.get(F.filter("listed", matches), F.lit(0)))
-    picked = salted_join(findings, lists, ["source"], salts, "left").withColumn("pick", chosen)
+    def look(sources, files):
+        import pandas as pd
+
+        seen: dict[tuple, list[dict] | None] = {}
+        for key in zip(sources, files, strict=True):
+            if key not in seen:
+                source, file = key
+                if source in lists and source not in built:
+                    built[source] = ExemptionList(lists[source])
+                seen[key] = (built[source].deciding(file) or None) if file is not None and source in lists else None
+        return pd.Series([seen[key] for key in zip(sources, files, strict=True)], dtype=object)
+
+    return F.pandas_udf(look, ENTRY, F.PandasUDFType.SCALAR)
+
+
+def _matched(key, files, entries):
+    import pandas as pd
+
+    own = ExemptionList(entries[list(_ENTRY_FIELDS)].itertuples(index=False, name=None))
+    found = [(source, file, own.deciding(file)) for source, file in zip(files["source"], files["file"], strict=True)]
+    return pd.DataFrame([f for f in found if f[2]], columns=["source", "file", "listed"])
+
+
+def matched_entries(files: DataFrame, entries: DataFrame, at_once: int = FILES_AT_ONCE) -> DataFrame:
+    """(source, file, listed) of the distinct files that entries of their source match.
+
+    The files of a source are dealt to as many tasks as their count asks for, each with the source's list.
+    """
+    files = written(files.join(entries.select("source").distinct(), "source", "left_semi").distinct(), "files")
+    parts = files.groupBy("source").agg(F.ceil(F.count("*") / at_once).cast("int").alias("parts"))
+    parts = written(parts, "parts")
+    dealt = files.join(parts, "source").withColumn("part", F.pmod(F.xxhash64("file"), F.col("parts")).cast("int")).drop("parts")
+    copies = entries.join(parts, "source").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return dealt.groupBy("source", "part").cogroup(copies.groupBy("source", "part")).applyInPandas(_matched, f"source string, file string, listed {ENTRY}")
+
+
+def apply_config(
+    findings: DataFrame,
+    exemptions: DataFrame,
+    as_of: Column,
+    collect_bytes: int = MAX_BROADCAST_BYTES,
+    at_once: int = FILES_AT_ONCE,
+) -> DataFrame:
+    """First matching entry of the source's list decides; annotated findings stay as they are.
+
+    A path walks the tree of its source's globs once.  Lists whose counted size is at most ``collect_bytes`` go to
+    every task; larger ones meet the distinct files of their sources in tasks of bounded size (see
+    :func:`matched_entries`), and findings are joined by file, so no source is too large.
+    """
+    entries = valid_exemptions(exemptions)
+    size = sum((F.coalesce(F.length(c), F.lit(0)) for c in ("source", *_ENTRY_FIELDS[1:])), F.lit(32))
+    total = entries.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    active = F.col("status") == V.ACTIVE
+    if total <= collect_bytes:
+        lists: dict[str, list[tuple]] = {}
+        for row in entries.select("source", *_ENTRY_FIELDS).collect():
+            lists.setdefault(row["source"], []).append(tuple(row)[1:])
+        listed = findings.withColumn("listed", _looked_up(lists)("source", F.when(active, F.col("file"))))
+    elif findings.isStreaming:
+        raise ValueError("lists of this size need a job for each batch of the stream")
+    else:
+        findings = written(findings, "findings")
+        listed = findings.join(matched_entries(findings.where(active).select("source", "file"), entries, at_once), ["source", "file"], "left")
+    fits = F.expr("get(filter(listed, e -> e.rule = '' OR e.rule = rule_id), 0)")
+    picked = listed.withColumn("pick", F.when(active, fits))
     hit = F.col("pick").isNotNull()
     exemption = F.when(
         hit, ex.exemption(F.col("pick.reason"), F.col("pick.owner"), F.col("pick.until"), "config")

@@ -19,13 +19,11 @@ from shorewatch.functions import exemptions as ex
 from shorewatch.functions import text
 from shorewatch.functions.literals import prefix_tree, presence, quoted, smallest
 from shorewatch.operators.exemptions import apply_config
-from shorewatch.operators.salting import SALTS
 from shorewatch.sources.rules import MAX_BROADCAST_BYTES, RulePack, table
 
 #: Rules of a language up to which each is tried on each line, and literals of a rule up to which the line is searched first.
 GROUP, GUARDS = 32, 4
-#: Before keys that are looked for in lower case.
-_FOLDED = "\x01"
+_NO_RULES, _NO_KEYS, _NO_FLAGS = (f"CAST(array() AS array<{kind}>)" for kind in ("int", "string", "boolean"))
 
 _EXT = model._fields(("ext", model.S), ("lang", model.S))
 _ATTRIBUTES = model._fields(
@@ -103,67 +101,78 @@ def _unrolled(rows: list[dict]) -> list[dict]:
 def _hits(languages: dict[str, list[dict]]) -> str:
     """Numbers of the rules that match the line, of those that are tried one by one."""
     found = {lang: f"array({', '.join(map(_rule_test, own))})" for lang, rows in languages.items() if (own := _unrolled(rows))}
-    return f"filter({_case('lang', found, 'CAST(array() AS array<int>)')}, n -> n IS NOT NULL)"
+    return f"filter({_case('lang', found, _NO_RULES)}, n -> n IS NOT NULL)"
+
+
+def _may_match(languages: dict[str, list[dict]]) -> str:
+    """Whether a line holds a literal that one of its language's patterns requires, or matches one that requires none."""
+    tests = {}
+    for lang, rows in languages.items():
+        kept = [r for r in rows if not r["recursive"]]
+        free = [r["line_rx"] for r in kept if r["need"] is None]
+        held = presence("text", [r["need"] for r in kept if r["need"] is not None])
+        tests[lang] = f"({held} OR rlike(text, {quoted('|'.join(f'(?:{rx})' for rx in free))}))" if free else held
+    return _case("lang", tests, "false")
 
 
 class _Index(NamedTuple):
-    """Literals of the rules of large packs: what finds them in a line, and the rules of each."""
+    """Literals of the rules of large packs: what finds them in a line as it is and in lower case, and the rules of each."""
 
-    found: str
+    plain: str
+    folded: str
     rules: list[dict]
 
 
-_KEYED = model._fields(("k_lang", model.S), ("key", model.S), ("k_ord", model.I), ("line_rx", model.S), ("keys", model.T.ArrayType(model.S)))
+_KEYED = model._fields(
+    ("k_lang", model.S), ("k_folded", model.B), ("k_key", model.S), ("k_ord", model.I), ("k_rx", model.S), ("k_all", model.T.ArrayType(model.S))
+)
 
 
 def _indexed(languages: dict[str, list[dict]]) -> _Index | None:
-    found, rules = {}, []
+    found: dict[bool, dict[str, str]] = {False: {}, True: {}}
+    rules = []
     for lang, rows in languages.items():
         kept = [r for r in rows if not r["recursive"]]
         own = [r for r in kept if r["need"] is not None] if len(kept) > GROUP else []
-        parts = []
-        for folded, subject, mark in ((False, "text", ""), (True, "lower(text)", _FOLDED)):
+        for folded, subject in ((False, "text"), (True, "lower(text)")):
             these = [r for r in own if r["need"].folded == folded]
             if not these:
                 continue
             least = smallest({x for r in these for x in r["need"].literals})
             # The look-ahead finds the literals of every place, overlapping ones too.
-            places = f"regexp_extract_all({subject}, {quoted(f'(?=({prefix_tree(least)}))')}, 1)"
-            parts.append(f"transform({places}, x -> concat({quoted(mark)}, x))" if mark else places)
+            found[folded][lang] = f"array_distinct(regexp_extract_all({subject}, {quoted(f'(?=({prefix_tree(least)}))')}, 1))"
             for r in these:
-                keys = sorted({mark + next(x for x in least if text.startswith(x)) for text in r["need"].literals})
-                rules += [{"k_lang": lang, "key": k, "k_ord": r["ord"], "line_rx": r["line_rx"], "keys": keys} for k in keys]
-        if parts:
-            found[lang] = f"array_distinct(concat({', '.join(parts)}))"
-    return _Index(_case("lang", found, "CAST(array() AS array<string>)"), rules) if found else None
+                keys = sorted({next(x for x in least if text.startswith(x)) for text in r["need"].literals})
+                rules += [{"k_lang": lang, "k_folded": folded, "k_key": k, "k_ord": r["ord"], "k_rx": r["line_rx"], "k_all": keys} for k in keys]
+    return _Index(*[_case("lang", found[f], _NO_KEYS) for f in (False, True)], rules) if rules else None
 
 
-def _by_index(lines: DataFrame, index: _Index) -> DataFrame:
-    """Adds ``rule_ord`` to lines with ``hits``: one row for each match.
+def _by_index(lines: DataFrame, hits: Column, index: _Index) -> DataFrame:
+    """Adds ``rule_ord`` to lines: one row for each match.
 
     Literals of a line meet their rules in a join, and only those patterns are tried: what a line costs does not
     grow with the pack.  A rule of which a line holds several literals is tried with the first.
     """
-    spark = lines.sparkSession
-    rules = table(spark, index.rules, _KEYED)
-    small = sum(len(r["line_rx"]) + 64 for r in index.rules) <= MAX_BROADCAST_BYTES
-    candidates = F.expr(
-        "concat(transform(hits, n -> named_struct('ord', n, 'key', '')), transform(found, k -> named_struct('ord', -1, 'key', k)))"
-    )
-    met = (
-        lines.withColumn("found", F.expr(index.found))
-        .where("size(hits) > 0 OR size(found) > 0")
-        .withColumn("candidate", F.explode(candidates))
-        .join(F.broadcast(rules) if small else rules, (F.col("lang") == F.col("k_lang")) & (F.col("candidate.key") == F.col("key")), "left")
-    )
-    first = "key = array_min(array_intersect(keys, found))"
-    number = f"CASE WHEN candidate.ord >= 0 THEN candidate.ord WHEN {first} AND rlike(text, line_rx) THEN k_ord END"
+    rules = table(lines.sparkSession, index.rules, _KEYED)
+    small = sum(len(r["k_rx"]) + 64 for r in index.rules) <= MAX_BROADCAST_BYTES
+    kind = "array<struct<ord: int, key: string, folded: boolean>>"
+    tried = F.arrays_zip(hits, F.expr(_NO_KEYS), F.expr(_NO_FLAGS)).cast(kind)
+    keyed = [
+        F.expr(f"CAST(arrays_zip({_NO_RULES}, {column}, array_repeat({flag}, size({column}))) AS {kind})")
+        for column, flag in (("plain", "false"), ("folded", "true"))
+    ]
+    met = lines.withColumns({"plain": F.expr(index.plain), "folded": F.expr(index.folded)})
+    met = met.withColumn("candidate", F.explode(F.concat(tried, *keyed)))
+    same = (F.col("lang") == F.col("k_lang")) & (F.col("candidate.folded") == F.col("k_folded")) & (F.col("candidate.key") == F.col("k_key"))
+    met = met.join(F.broadcast(rules) if small else rules, same, "left")
+    first = "k_key = array_min(array_intersect(k_all, if(k_folded, folded, plain)))"
+    number = f"CASE WHEN candidate.ord IS NOT NULL THEN candidate.ord WHEN {first} AND rlike(text, k_rx) THEN k_ord END"
     met = met.withColumn("rule_ord", F.expr(number)).where("rule_ord IS NOT NULL")
-    return met.drop("found", "candidate", *[f.name for f in _KEYED.fields])
+    return met.drop("plain", "folded", "candidate", *[f.name for f in _KEYED.fields])
 
 
 def _linear_hits(languages: dict[str, list[dict]]):
-    """Matches of patterns on which the built-in engine recurses, by the linear engine of Arrow: (pos, rule_ord) of a file."""
+    """Matches of patterns on which the built-in engine recurses, by the linear engine of Arrow: numbers of rules by line."""
     patterns = {
         lang: [(r["ord"], r["pattern"]) for r in rows if r["recursive"]] for lang, rows in languages.items()
     }
@@ -177,47 +186,64 @@ def _linear_hits(languages: dict[str, list[dict]]):
         out = []
         for lang, file in zip(langs, lines):
             array = pa.array([] if file is None else list(file), pa.string())
-            out.append(
-                [
-                    {"pos": int(i), "ord": number}
-                    for number, pattern in patterns.get(lang, ())
-                    for i in np.flatnonzero(pc.match_substring_regex(array, pattern).to_numpy(zero_copy_only=False))
-                ]
-            )
+            found = [None] * len(array)
+            for number, pattern in patterns.get(lang, ()):
+                for i in np.flatnonzero(pc.match_substring_regex(array, pattern).to_numpy(zero_copy_only=False)):
+                    found[i] = [*(found[i] or ()), number]
+            out.append(found)
         return pd.Series(out, dtype=object)
 
     # Annotated here, as the libraries are imported in the tasks.
-    return F.pandas_udf(match, "array<struct<pos: int, ord: int>>", F.PandasUDFType.SCALAR)
+    return F.pandas_udf(match, "array<array<int>>", F.PandasUDFType.SCALAR)
 
 
 def match_rules(files: DataFrame, pack: RulePack) -> DataFrame:
-    """One row per (file, rule, line) match, with the line array still attached.
+    """One row per (file, rule, line) match, with the line's ``pos`` and ``text``, its ``snippet``, and in ``above``
+    the non-blank line above it (null in files without annotations).
 
-    Rules are tried together on the whole text; a file is split once, and each line is tested by the
-    rules of its language in one expression.  Attributes of rules are joined to the matches.
+    Rules are tried together on the whole text; a file is split once.  Its lines are exploded, and those that hold
+    no literal of a rule dropped, inside one generated stage, in which the array of lines is not copied; lines leave
+    it with their surroundings only.  What is left is tested by the rules of its language, whose attributes are
+    joined to the matches.
     """
     languages = _by_language(pack)
     if not languages:
-        return _attributes(files.limit(0).selectExpr("*", "false marked", "array('') lines", "0 pos", "'' text", "0 rule_ord"), pack)
+        empty = files.limit(0).selectExpr("*", "0 pos", "'' text", "'' snippet", "'' above", "0 rule_ord")
+        return _attributes(empty.drop("content"), pack)
     split = (
         files.where(_worth_splitting(languages))
         .withColumn("marked", F.contains("content", F.lit(V.MARKER)))
         .withColumn("lines", text.lines(F.col("content")))
+        .withColumn("before", F.when(F.col("marked"), ex.text_line_above(F.col("lines"))))
         .drop("content")
     )
-    hits = F.expr(_hits(languages))
-    if any(r["recursive"] for rows in languages.values() for r in rows):
+    may_match, hits = F.expr(_may_match(languages)), F.expr(_hits(languages))
+    linear = any(r["recursive"] for rows in languages.values() for r in rows)
+    if linear:
         split = split.withColumn("linear", _linear_hits(languages)("lang", "lines"))
-        here = F.transform(F.filter("linear", lambda h: h["pos"] == F.col("pos")), lambda h: h["ord"])
-        hits = F.concat(hits, here)
-    # The outer form only keeps the optimizer from splitting every file in an
-    # inferred "has lines" filter; files without lines fall out in the match.
-    tried = split.select("*", F.posexplode_outer("lines").alias("pos", "text")).withColumn("hits", hits)
+        may_match |= F.get("linear", F.col("pos")).isNotNull()
+        hits = F.concat(hits, F.coalesce("here", F.expr(_NO_RULES)))
+    annotated = F.col("marked") & ~text.is_blank(F.col("text"))
+    kept = (
+        # The outer form only keeps the optimizer from splitting every file in an
+        # inferred "has lines" filter; files without lines fall out in the match.
+        split.select("*", F.posexplode_outer("lines").alias("pos", "text"))
+        .where(may_match)
+        .withColumns(
+            {
+                "snippet": text.snippet(F.col("lines"), F.col("pos") + 1),
+                "above": F.when(annotated, F.get("lines", F.get("before", F.col("pos")))),
+            }
+            | ({"here": F.get("linear", F.col("pos"))} if linear else {})
+        )
+        .drop("lines", "before", "marked", "linear")
+    )
     if index := _indexed(languages):
-        matched = _by_index(tried, index)
+        matched = _by_index(kept, hits, index)
     else:
-        matched = tried.where(F.size("hits") > 0).withColumn("rule_ord", F.explode("hits"))
-    return _attributes(matched.drop("hits", "linear"), pack)
+        # Given to the generator as it is: a column of its own would be computed beside the lines.
+        matched = kept.withColumn("rule_ord", F.explode(hits))
+    return _attributes(matched.drop("here"), pack)
 
 
 def _attributes(matched: DataFrame, pack: RulePack) -> DataFrame:
@@ -230,18 +256,10 @@ def _attributes(matched: DataFrame, pack: RulePack) -> DataFrame:
 
 def raw_findings(files: DataFrame, pack: RulePack, as_of: Column) -> DataFrame:
     """Findings with inline annotations applied, before configured exemptions."""
-    matched = match_rules(select_files(files, pack), pack)
-    annotated = F.col("marked") & ~text.is_blank(F.col("text"))
     located = (
-        matched.withColumns(
-            {
-                "line": F.col("pos") + 1,
-                "snippet": text.snippet(F.col("lines"), F.col("pos") + 1),
-                "above": F.when(annotated, ex.lines_above(F.col("lines"), F.col("pos"))),
-            }
-        )
-        .drop("lines", "marked", "pos", "text")
-        .withColumn("above", ex.last_text_line(F.col("above")))
+        match_rules(select_files(files, pack), pack)
+        .withColumn("line", F.col("pos") + 1)
+        .drop("pos", "text")
         .withColumn("note", ex.annotation(F.col("above")))
     )
     scope = F.col("note.rule")
@@ -271,15 +289,15 @@ def scan(
     pack: RulePack,
     as_of: Column | None = None,
     exemptions: DataFrame | None = None,
-    salts: int = SALTS,
+    collect_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """Findings of a corpus ``files(source, file, content)``.
 
     ``exemptions`` are configured exemptions of all sources; see
-    :func:`shorewatch.operators.exemptions.apply_config` for ``salts``.
+    :func:`shorewatch.operators.exemptions.apply_config` for ``collect_bytes``.
     """
     as_of = F.current_timestamp() if as_of is None else as_of
     findings = raw_findings(files, pack, as_of)
     if exemptions is None:
         return findings
-    return apply_config(findings, exemptions, as_of, salts)
+    return apply_config(findings, exemptions, as_of, collect_bytes)

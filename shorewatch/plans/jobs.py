@@ -7,10 +7,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 
 from shorewatch.operators.rollup import report_rows
-from shorewatch.operators.salting import SALTS
 from shorewatch.operators.scan import scan
 from shorewatch.operators.tables import shared_directory
-from shorewatch.sources.rules import RulePack
+from shorewatch.sources.rules import MAX_BROADCAST_BYTES, RulePack
 
 
 class ScanResult(NamedTuple):
@@ -23,11 +22,11 @@ def scan_corpus(
     pack: RulePack,
     exemptions: DataFrame | None = None,
     as_of: Column | None = None,
-    salts: int = SALTS,
+    collect_bytes: int = MAX_BROADCAST_BYTES,
     **report_options,
 ) -> ScanResult:
     """Findings and one report row per source, both lazy."""
-    findings = scan(files, pack, as_of, exemptions, salts)
+    findings = scan(files, pack, as_of, exemptions, collect_bytes)
     return ScanResult(findings, report_rows(files, findings, pack, scanned_at=as_of, **report_options))
 
 
@@ -37,10 +36,10 @@ def findings_to_table(
     directory: str,
     exemptions: DataFrame | None = None,
     as_of: Column | None = None,
-    salts: int = SALTS,
+    collect_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """Scan once, write the findings below a shared directory, and continue from the written table."""
-    return _written(scan(files, pack, as_of, exemptions, salts), f"{directory}/findings")
+    return _written(scan(files, pack, as_of, exemptions, collect_bytes), f"{directory}/findings")
 
 
 def scan_to_table(
@@ -49,7 +48,7 @@ def scan_to_table(
     directory: str,
     exemptions: DataFrame | None = None,
     as_of: Column | None = None,
-    salts: int = SALTS,
+    collect_bytes: int = MAX_BROADCAST_BYTES,
     **report_options,
 ) -> ScanResult:
     """Findings and report rows as written tables.
@@ -57,7 +56,7 @@ def scan_to_table(
     Documents and portfolio tables start from both several times.  Reading them back keeps the
     corpus from being scanned once per use, and lost executors from causing a rescan.
     """
-    findings = findings_to_table(files, pack, directory, exemptions, as_of, salts)
+    findings = findings_to_table(files, pack, directory, exemptions, as_of, collect_bytes)
     reports = report_rows(files, findings, pack, scanned_at=as_of, **report_options)
     return ScanResult(findings, _written(reports, f"{directory}/reports"))
 

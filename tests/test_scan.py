@@ -302,3 +302,19 @@ def test_layers_and_rejections(tmp_path):
     (tmp_path / "c.YAML").write_text("not read")
     loaded = RulePack.load(tmp_path, tmp_path / "missing", use_bundled=False)
     assert [(r["id"], r["severity"]) for r in loaded.rules] == [("two", "MEDIUM"), ("one", "CRITICAL")]
+
+
+def test_annotations_before_long_blank_runs(spark):
+    """1,000 annotations, each before 1,000 blank lines; a search that looked at all lines for each would take minutes."""
+    blanks, notes = "\n \t" * 1000, 1000
+    content = "hit\n" + "\n".join(f'// {M} reason="n{i}"{blanks}\nhit {i}\n\nhit' for i in range(notes))
+    pack = RulePack([rule("matches", "hit")])
+    begun = dt.datetime.now()
+    frame = files(spark, [("s", "a.go", content)])
+    found = {r.line: r.exemption and r.exemption.reason for r in scan(frame, pack, now()).collect()}
+    targets = {r.target_line: r.reason for r in exops.annotations(frame).collect()}
+    assert (dt.datetime.now() - begun).total_seconds() < 60
+    want = {2 + 1004 * i + 1001: f"n{i}" for i in range(notes)}
+    assert targets == want
+    assert {line: reason for line, reason in found.items() if reason} == want
+    assert len(found) == 2 * notes + 1
