@@ -17,9 +17,11 @@ from shorewatch.functions import labels
 from shorewatch.functions import severity as sev
 from shorewatch.functions import text
 from shorewatch.operators import diff, listings, portfolio, rollup
+from shorewatch.operators.positions import numbered
 from shorewatch.operators.scan import scan
 from shorewatch.plans.jobs import shared_directory
 from shorewatch.sinks import digest, documents
+from shorewatch.sources.reports import read_report_documents
 
 _RANK = case("severity", V.LISTING_RANK, "4")
 _SEQ = "string_split(file, '/'), rule_ord, line"
@@ -521,22 +523,54 @@ def j9_target_metadata(c: Context) -> DataFrame:
     return portfolio.category_totals(c.reports, c.targets)
 
 
+@query(
+    "a16_report_positions",
+    O.from_findings(
+        f"""SELECT source, file, rule_id, CAST(line AS BIGINT) AS line,
+              CAST(row_number() OVER (PARTITION BY source ORDER BY {_SEQ}) AS BIGINT) AS seq FROM findings"""
+    ),
+)
+def a16_report_positions(c: Context) -> DataFrame:
+    """The place of every finding in its report."""
+    placed = numbered(c.stored_findings, ["source"], listings.report_order())
+    return _big(placed, "line").select("source", "file", "rule_id", "line", "seq")
+
+
 @query(
     "j8_report_findings",
     O.from_findings(
-        f"""SELECT source, file, CAST(row_number() OVER (PARTITION BY source, file ORDER BY rule_ord, line) - 1 AS BIGINT)
-              AS seq, rule_id, CAST(line AS BIGINT) AS line, status FROM findings"""
+        f"""SELECT source, file, CAST(row_number() OVER (PARTITION BY source ORDER BY {_SEQ}) - 1 AS BIGINT) AS seq, rule_id,
+              CAST(line AS BIGINT) AS line, status, algorithm, severity, sha256(snippet) AS snippet, ex_reason FROM findings"""
     ),
 )
 def j8_report_findings(c: Context) -> DataFrame:
-    """Nested per-file reports exploded back to findings with their position."""
-    nested = (
-        c.findings.groupBy("source", "file")
-        .agg(F.array_sort(F.collect_list(F.struct("rule_ord", "line", "rule_id", "file", "status"))).alias("findings"))
-        .select("source", "findings")
-    )
-    return _big(portfolio.explode_reports(nested), "seq", "line").select(
-        "source", "file", "seq", "rule_id", "line", "status"
+    """Findings of saved reports with their report's source and their place in it: documents are written and read back."""
+    _, findings = _read_back(c)
+    return _big(findings, "line").select(
+        "source", "file", "seq", "rule_id", "line", "status", "algorithm", "severity",
+        F.sha2("snippet", 256).alias("snippet"), F.col("exemption.reason").alias("ex_reason"),
+    )
+
+
+def _read_back(c: Context) -> tuple[DataFrame, DataFrame]:
+    folder = shared_directory(c.spark, f"documents-{uuid4().hex}")
+    documents.write_documents(documents.report_document(c.stored.reports, c.stored.findings), folder)
+    return read_report_documents(c.spark, folder)
+
+
+@query(
+    "s7_saved_reports",
+    O.from_reports(
+        """SELECT source, CAST(files_scanned AS BIGINT) AS files_scanned, rules_applied, critical, high, medium, low, info, safe,
+              total, exempted, verdict AS nis2, verdict AS dora, CAST(NULL AS VARCHAR) AS problem FROM reports"""
+    ),
+)
+def s7_saved_reports(c: Context) -> DataFrame:
+    """Heads and tails of the saved reports, each put together from several part files."""
+    reports, _ = _read_back(c)
+    risk = ("critical", "high", "medium", "low", "info", "safe", "total", "exempted")
+    return reports.select(
+        "source", "files_scanned", "rules_applied", *[f"risk_summary.{n}" for n in risk], "compliance.nis2", "compliance.dora", "problem"
     )
 
 
