@@ -29,6 +29,8 @@ from shorewatch.llm.common import materialize
 
 #: Bytes after which an archive file is closed, capture lines per index block, archive files open for reading.
 ARCHIVE_BYTES, BLOCK_LINES, OPEN_FILES = 1 << 30, 512, 32
+#: The number of pages without id.
+NO_ID = (1 << 63) - 1
 #: Pages carry no time of capture, so every record has this one.
 CAPTURED = "1970-01-01T00:00:00Z"
 _LENGTH = re.compile(rb"\r\nContent-Length: (\d+)\r\n")
@@ -187,10 +189,12 @@ def write_archive(
 
     Of pages with equal payloads of at least ``min_bytes`` that of the smallest id is a response and the
     others are revisits of it.  A null html is an empty payload.  A null URL gets a name from the page's
-    id.  Pages without id are left out.  Rows that repeat an id are records of their own.
+    id.  Rows that repeat an id are records of their own.  Rows without id are records under a number of
+    their own, the greatest there is; nothing can refer to them, so each is a response unless a row with an id
+    has its payload.  Of an empty table there are no records; other columns are ignored.
     """
-    page = pages.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), F.col(html_col).alias("html")
+    page = pages.select(
+        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("page"), F.col(url_col).alias("url"), F.col(html_col).alias("html")
     )
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     page = page.withColumn("digest", F.sha2(payload, 256))
@@ -264,7 +268,9 @@ def read_archive(archive: Archive, wanted: DataFrame, url_col: str = "url", id_c
     """Records of the wanted (URL, page id) pairs, found through the index.
 
     Returns page_id, payload, payload_bytes, payload_digest, record_type and refers_to as the records
-    state them.  A pair is looked up once; what the archive does not hold gives no row.
+    state them.  Records are looked up once for each page and key of a URL, so rows that repeat an id with one key
+    get as many records as were written.  What the archive does not hold gives no row; rows without id get theirs,
+    with a null page_id.
     """
     files = archive.directory.groupBy("file").agg(F.min(F.struct("key", "page")).alias("first"))
     # One entry for each index file, so as many as the index has partitions.
@@ -281,16 +287,19 @@ def read_archive(archive: Archive, wanted: DataFrame, url_col: str = "url", id_c
     schema = "page_id long, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
     if not names:
         return spark.createDataFrame([], schema)
-    asked = wanted.where(F.col(id_col).isNotNull()).select(F.col(url_col).alias("url"), F.col(id_col).cast("long").alias("page"))
-    look_ups = asked.distinct().mapInPandas(place, "file string, key string, page long")
+    asked = wanted.select(F.col(url_col).alias("url"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("page"))
+    # Different URLs of a page can have one key; those are one look-up.
+    look_ups = asked.distinct().mapInPandas(place, "file string, key string, page long").distinct()
     # A directory travels as the first row of its file's look-ups; it is sparse and as long as one partition's index.
     heads = archive.directory.groupBy("file").agg(
         F.collect_list(F.struct("key", "page", "at", "length")).alias("blocks")
     )
-    rows = heads.select("file", F.lit(None).cast("string").alias("key"), F.lit(None).cast("long").alias("page"), "blocks")
+    # No page is null there: a column of numbers and nulls would come to the task as doubles.
+    rows = heads.select("file", F.lit(None).cast("string").alias("key"), F.lit(0).cast("long").alias("page"), "blocks")
     rows = rows.unionByName(look_ups, allowMissingColumns=True)
     sorted_rows = rows.repartition("file").sortWithinPartitions("file", F.col("key").asc_nulls_first(), "page")
-    return sorted_rows.mapInPandas(reader(archive.folder), schema)
+    found = sorted_rows.mapInPandas(reader(archive.folder), schema)
+    return found.withColumn("page_id", F.when(F.col("page_id") != NO_ID, F.col("page_id")))
 
 
 __all__ = ["Archive", "parse", "read_archive", "record", "url_key", "write_archive"]

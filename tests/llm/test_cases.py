@@ -178,7 +178,7 @@ def test_archive(spark):
     folder = spark.conf.get("spark.checkpoint.dir") + "/archive-test"
     archive = write_archive(frame, folder, archive_bytes=400, block_lines=2)
     got = {r.page_id: r for r in read_archive(archive, frame).collect()}
-    assert set(got) == {1, 2, 3, 4, 5}
+    assert set(got) == {None, 1, 2, 3, 4, 5}
     assert (got[3].record_type, got[3].refers_to, got[3].payload_bytes, bytes(got[3].payload)) == ("revisit", 1, 4, b"")
     assert got[1].record_type == "response" and bytes(got[4].payload) == ("ü" * 50_000).encode()
     assert (got[2].record_type, got[5].refers_to, got[2].payload_bytes) == ("response", 2, 0)
