@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shorewatch.llm.common import materialize
+from shorewatch.llm.common import free_names, materialize
 from shorewatch.llm.tokens import Encoder
 
 #: Pieces that one task packs at once; sequences filled less than this are opened again and packed anew.
@@ -30,7 +30,7 @@ class Capacity(NamedTuple):
     tokens: int = 2048
     documents: int = 2048
     attention: int = 2048 * 2048
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0)
+    weights: tuple[float, float, float] = (1.0, 1.0, 1.0)
     rule: str = "norm"
 
 
@@ -102,24 +102,24 @@ def best_fit(lengths: np.ndarray, capacity: Capacity) -> np.ndarray:
     return chosen
 
 
-def shard_packer(capacity: Capacity, round_: int):
+def shard_packer(capacity: Capacity, round_: int, shard_col: str, filled_col: str):
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "id", "piece", "start"], ascending=[False, True, True, True], ignore_index=True)
         sequence = best_fit(rows["length"].to_numpy(), capacity)
-        shard = int(rows["shard"].iloc[0])
+        shard = int(rows[shard_col].iloc[0])
         # Rounds, shards and sequences have parts of the number of their own.
         rows["sequence_id"] = (round_ << 58) + (shard << 20) + sequence
         rows = rows.sort_values(["sequence_id", "length"], ascending=[True, False], kind="stable", ignore_index=True)
         by = rows.groupby("sequence_id")["length"]
         rows["offset"] = by.cumsum() - rows["length"]
-        rows["filled"] = by.transform("sum")
-        return rows.drop(columns="shard")
+        rows[filled_col] = by.transform("sum")
+        return rows.drop(columns=shard_col)
 
     return pack
 
 
 def pack_pieces(pieces: DataFrame, capacity: Capacity, shard_pieces: int = SHARD_PIECES) -> DataFrame:
-    """Adds sequence_id and offset to pieces with id, piece, start and length; other columns stay.
+    """Adds sequence_id and offset to pieces with id, piece, start and length (replacing columns of these names); other columns stay.
 
     Pieces are dealt into shards of bounded size by a hash and each shard is packed by itself.  What
     ends in sequences that are not well filled is dealt into fewer shards and packed anew, until it is
@@ -128,7 +128,9 @@ def pack_pieces(pieces: DataFrame, capacity: Capacity, shard_pieces: int = SHARD
     """
     if capacity.rule not in ("norm", "dot"):
         raise ValueError("rule is norm or dot")
-    columns = pieces.columns
+    columns = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    pieces = pieces.select(*[F.col(f"`{c}`") for c in columns])
+    shard_col, filled_col = free_names([*columns, "sequence_id", "offset"], "shard", "filled")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
     n, longest = pieces.agg(F.count("*"), F.max("length")).first()
     if (longest or 0) > capacity.tokens or (longest or 0) ** 2 > capacity.attention or capacity.documents < 1:
@@ -136,20 +138,20 @@ def pack_pieces(pieces: DataFrame, capacity: Capacity, shard_pieces: int = SHARD
     todo, done, round_ = pieces, [], 0
     while True:
         shards = max(1, ceil(n / shard_pieces))
-        keyed = todo.withColumn("shard", F.pmod(F.xxhash64(F.lit(round_), "id", "piece", "start"), F.lit(shards)))
-        packed = keyed.groupBy("shard").applyInPandas(
-            shard_packer(capacity, round_), f"{schema}, sequence_id long, offset long, filled long"
+        keyed = todo.withColumn(shard_col, F.pmod(F.xxhash64(F.lit(round_), "id", "piece", "start"), F.lit(shards)))
+        packed = keyed.groupBy(shard_col).applyInPandas(
+            shard_packer(capacity, round_, shard_col, filled_col), f"{schema}, sequence_id long, offset long, `{filled_col}` long"
         )
         packed = materialize(packed, "packed")
-        loose = packed.where(F.col("filled") < LOOSE * capacity.tokens)
+        loose = packed.where(F.col(filled_col) < LOOSE * capacity.tokens)
         m = loose.count() if shards > 1 else 0
         if shards == 1 or m == 0 or ceil(m / shard_pieces) > 0.7 * shards:
             break
-        done.append(packed.where(F.col("filled") >= LOOSE * capacity.tokens))
-        todo, n, round_ = loose.select(*columns), m, round_ + 1
+        done.append(packed.where(F.col(filled_col) >= LOOSE * capacity.tokens))
+        todo, n, round_ = loose.select(*[F.col(f"`{c}`") for c in columns]), m, round_ + 1
     for part in done:
         packed = packed.unionByName(part)
-    return packed.drop("filled")
+    return packed.drop(filled_col)
 
 
 def pack_documents(
