@@ -551,10 +551,17 @@ def _in(names) -> str:
     return "(" + ", ".join(lit(n) for n in names) + ")"
 
 
+#: Patterns that compile, and then those that do not: unbalanced, repeated twice, referring back, looking ahead.
+_COMPILING = [r"a+b", r"(?i)x{2,3}", r"[[:alpha:]_]\w*", r"^key\.(new|open)\($", r"\x{1F600}|é"]
+_REFUSED = ["(a", "a**", "[z", r"(x)\1", "(?=x)y", "b)", "x{2,1}", r"\q"]
+_SPELLED = [*_COMPILING, *_REFUSED]
+
+
 @query(
     "p6_rule_validation",
-    f"""WITH {_RULE_TABLE}
+    f"""WITH {_RULE_TABLE.replace("'p' || CAST(p_partkey AS VARCHAR) AS pattern", _sql_pick(_SPELLED, "p_partkey // 3") + " AS pattern")}
         SELECT pattern, id, CASE
+            WHEN pattern IN {_in(_REFUSED)} THEN 'invalid pattern'
             WHEN quantum_threat = '' THEN 'quantum_threat is required'
             WHEN quantum_threat NOT IN {_in(V.THREATS)} THEN 'invalid quantum_threat'
             WHEN primitive = '' THEN 'primitive is required'
@@ -563,7 +570,10 @@ def _in(names) -> str:
         FROM rule_table""",
 )
 def p6_rule_validation(c: Context) -> DataFrame:
-    return rops.check_rules(rule_table(c)).select("pattern", "id", "error", "missing_id", "unlisted_severity")
+    number = F.call_function("div", F.substring("pattern", 2, 20).cast("bigint"), F.lit(3)) % len(_SPELLED)
+    spelled = F.get(F.array(*[F.lit(p) for p in _SPELLED]), number.cast("int"))
+    checked = rops.check_rules(rule_table(c).withColumn("pattern", spelled))
+    return checked.select("pattern", "id", "error", "missing_id", "unlisted_severity")
 
 
 @query(

@@ -12,8 +12,36 @@ from shorewatch.functions import severity as sev
 _BUILT_IN = list(V.EXTENSIONS)
 
 
+def _compiles():
+    """Whether patterns compile: in the linear engine that rule packs are written for, and in the dialect's translation."""
+
+    def compiles(patterns):
+        import pandas as pd
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        from shorewatch.functions.dialect import PatternError, to_java
+
+        def one(pattern):
+            try:
+                to_java(pattern)
+                pc.match_substring_regex(pa.array([""]), pattern)
+            except (PatternError, pa.ArrowInvalid):
+                return False
+            return True
+
+        known = {p: one(p) for p in set(patterns.dropna())}
+        return pd.Series([known.get(p, False) for p in patterns], dtype=bool)
+
+    return F.pandas_udf(compiles, "boolean", F.PandasUDFType.SCALAR)
+
+
 def check_rules(rules: DataFrame) -> DataFrame:
-    """One verdict per rule: what the loader refuses and what it merely tolerates."""
+    """One verdict per rule: what the loader refuses and what it merely tolerates.
+
+    Patterns are compiled in the tasks, each distinct one of a batch once.
+    """
+    refused = F.when(~_compiles()("pattern"), "invalid pattern")
     required = [
         F.when(F.coalesce(F.col(name), F.lit("")) == "", f"{name} is required").when(
             ~F.col(name).isin(allowed), f"invalid {name}"
@@ -23,7 +51,7 @@ def check_rules(rules: DataFrame) -> DataFrame:
     severity = F.coalesce(F.col("severity"), F.lit(""))
     return rules.withColumns(
         {
-            "error": F.coalesce(*required),
+            "error": F.coalesce(refused, *required),
             "missing_id": F.coalesce(F.col("id"), F.lit("")) == "",
             "unlisted_severity": (severity != "") & ~severity.isin(V.SEVERITIES),
         }
