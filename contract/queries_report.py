@@ -303,37 +303,49 @@ def s15_project_page(c: Context) -> DataFrame:
     return _big(listings.project_page(c.findings), "line")
 
 
+_GROUPS = """grouped AS (
+  SELECT source, file, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high,
+         count(*) FILTER (severity = 'MEDIUM') AS medium, count(*) FILTER (severity = 'LOW') AS low, count(*) AS n,
+         CASE WHEN len(string_split(file, '/')) > 3 THEN array_to_string(string_split(file, '/')[-3:], '/') ELSE file END AS short
+  FROM findings WHERE status = 'active' GROUP BY source, file),
+groups AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY critical DESC, high DESC, file) AS position FROM grouped),
+listed AS (
+  SELECT f.*, g.position, g.short, row_number() OVER (PARTITION BY f.source, f.file ORDER BY f.rule_ord, f.line) AS nth
+  FROM findings f JOIN groups g ON f.source = g.source AND f.file = g.file WHERE f.status = 'active')"""
+
+
+@query(
+    "a7_file_listing",
+    O.from_reports(
+        """SELECT source, file, short, CAST(position AS BIGINT) AS position, CAST(nth AS BIGINT) AS nth, rule_id,
+             CAST(line AS BIGINT) AS line, severity, algorithm FROM listed""",
+        _GROUPS,
+    ),
+)
+def a7_file_listing(c: Context) -> DataFrame:
+    """The findings of every file group, each with its place."""
+    return _big(listings.file_listing(c.stored_findings), "position", "nth", "line").select(
+        "source", "file", "short", "position", "nth", "rule_id", "line", "severity", "algorithm"
+    )
+
+
 @query(
     "s14_view_model",
     O.from_reports(
-        f"""SELECT r.source, r.active AS active_count,
-              CAST(greatest(coalesce(max(a."count"), 1), 1) AS BIGINT) AS max_alg_count,
-              CAST(least(count(a.algorithm), 10) AS BIGINT) AS alg_rows, any_value(coalesce(f.files, 0)) AS file_rows
-            FROM reports r LEFT JOIN alg a ON r.source = a.source
-            LEFT JOIN (SELECT source, count(DISTINCT file) AS files FROM findings WHERE status = 'active' GROUP BY 1) f
-              ON r.source = f.source GROUP BY r.source, r.active""",
+        """SELECT r.source, 'total' AS section, CAST(0 AS BIGINT) AS position, CAST(0 AS BIGINT) AS nth, 'active' AS name, '' AS detail,
+              r.active AS "count", coalesce(max(a."count"), 1) AS bar
+            FROM reports r LEFT JOIN alg a ON r.source = a.source GROUP BY r.source, r.active
+            UNION ALL SELECT source, 'algorithm', position, 0, algorithm, '', "count", "count" * 100 // largest FROM (
+              SELECT *, row_number() OVER (PARTITION BY source ORDER BY "count" DESC, algorithm) AS position,
+                max("count") OVER (PARTITION BY source) AS largest FROM alg) WHERE position <= 10
+            UNION ALL SELECT source, 'file', position, 0, short, concat_ws('/', critical, high, medium, low), n, 0 FROM groups
+            UNION ALL SELECT source, 'finding', position, nth, rule_id, concat_ws(':', severity, algorithm, line), 1, 0 FROM listed""",
         _ALG,
+        _GROUPS,
     ),
 )
 def s14_view_model(c: Context) -> DataFrame:
-    algorithms = (
-        listings.algorithm_counts(c.stored.findings, "source")
-        .groupBy("source")
-        .agg(F.max("count").alias("largest"), F.least(F.count("*"), F.lit(10)).alias("alg_rows"))
-    )
-    files = listings.file_groups(c.stored.findings).groupBy("source").agg(F.count("*").alias("file_rows"))
-    return (
-        c.stored.reports.select("source", F.col("active").alias("active_count"))
-        .join(algorithms, "source", "left")
-        .join(files, "source", "left")
-        .select(
-            "source",
-            "active_count",
-            F.coalesce("largest", F.lit(1)).cast("bigint").alias("max_alg_count"),
-            F.coalesce("alg_rows", F.lit(0)).cast("bigint").alias("alg_rows"),
-            F.coalesce("file_rows", F.lit(0)).cast("bigint").alias("file_rows"),
-        )
-    )
+    return listings.view_model(c.stored.findings, c.stored.reports)
 
 
 @query(

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shorewatch import values as V
 from shorewatch.functions import labels, sarif, text
 from shorewatch.functions import severity as sev
+from shorewatch.operators.positions import numbered
 from shorewatch.operators.rollup import severity_counts
 
 
@@ -81,6 +84,51 @@ def file_group_order():
     return [F.desc("critical"), F.desc("high"), F.asc("file")]
 
 
+def placed_file_groups(findings: DataFrame) -> DataFrame:
+    """File groups with their ``position`` in the source's listing, from 1; a source may have any number of files."""
+    return numbered(file_groups(findings), ["source"], file_group_order(), "position")
+
+
+def file_listing(findings: DataFrame) -> DataFrame:
+    """Active findings below their files: the file's ``position`` in its source, the finding's ``nth`` in the file.
+
+    The findings of a file are numbered in a window; those are bounded by the file, and a source's files are not.
+    """
+    groups = placed_file_groups(findings).select("source", "file", "short", "position")
+    order = Window.partitionBy("source", "file").orderBy("rule_ord", "line")
+    own = active(findings).withColumn("nth", F.row_number().over(order))
+    return own.join(groups, ["source", "file"])
+
+
+def view_model(findings: DataFrame, reports: DataFrame) -> DataFrame:
+    """All rows of the report views: (source, section, position, nth, name, detail, count, bar).
+
+    Sections are ``total`` (active findings; in bar the count of the most frequent algorithm, at least 1),
+    ``algorithm`` (the ten most frequent, with their bars), ``file`` (severity counts as detail) and ``finding`` (in
+    the place of its file, with severity, algorithm and line).  Written in the order of source, section, position
+    and nth they are the view; none is nested, so no source is too large.
+    """
+    zero = F.lit(0)
+    named = {c: F.col(c) for c in ("source", "section", "position", "nth", "name", "detail", "count", "bar")}
+
+    def rows(frame: DataFrame, section: str, **columns: Column) -> DataFrame:
+        found = {"section": F.lit(section), "nth": zero, "position": zero, "detail": F.lit(""), "bar": zero} | columns
+        numbers = ("position", "nth", "count", "bar")
+        return frame.select(*[(found.get(n, c).cast("bigint") if n in numbers else found.get(n, c)).alias(n) for n, c in named.items()])
+
+    most = algorithm_counts(findings, "source").groupBy("source").agg(F.max("count").alias("largest"))
+    totals = reports.select("source", "active").join(most, "source", "left")
+    counts = F.concat_ws("/", *[F.col(c).cast("string") for c in ("critical", "high", "medium", "low")])
+    told = F.concat_ws(":", "severity", "algorithm", F.col("line").cast("string"))
+    parts = [
+        rows(totals, "total", name=F.lit("active"), count=F.col("active"), bar=F.coalesce("largest", F.lit(1))),
+        rows(top_algorithms_by_source(findings), "algorithm", position=F.col("position"), name=F.col("algorithm"), bar=F.col("bar_pct")),
+        rows(placed_file_groups(findings), "file", position=F.col("position"), name=F.col("short"), detail=counts, count=F.col("findings")),
+        rows(file_listing(findings), "finding", position=F.col("position"), nth=F.col("nth"), name=F.col("rule_id"), detail=told, count=F.lit(1)),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def top_findings(findings: DataFrame, k: int) -> DataFrame:
     """The ``k`` most severe active findings of all sources."""
     return (
