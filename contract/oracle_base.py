@@ -6,9 +6,12 @@ match is a join, which is the textbook form of what the Spark job does inside ro
 
 from __future__ import annotations
 
+from pathlib import Path
+
+import yaml
+
 from contract import planted as P
 from shorewatch import values as V
-from shorewatch.sources.rules import RulePack, _clean, bundled_rules
 
 AS_OF = f"TIMESTAMP '{P.AS_OF}'"
 NOT_SPACE = f"[^{V.SPACE_CLASS}]"
@@ -31,25 +34,34 @@ def nonblank(column: str) -> str:
     return f"regexp_matches({column}, {lit(NOT_SPACE)})"
 
 
-def merged_rules() -> list[dict]:
-    return RulePack.layered(
-        bundled_rules(), [_clean(r) for r in P.HOUSE_RULES], [_clean(r) for r in P.TEAM_RULES]
-    ).rules
+def _definitions() -> list[dict]:
+    """All rule definitions as their authors wrote them, in the order of layers, files and places; nothing merged."""
+    bundled = yaml.safe_load((Path(V.__file__).parent / "rulepacks" / "bundled.yaml").read_text("utf-8"))
+    return [*bundled, *P.HOUSE_RULES, *P.TEAM_RULES]
+
+
+_RULE_TEXTS = ("id", "language", "algorithm", "severity", "message", "migration", "quantum_threat", "primitive")
+
+DERIVED_SEVERITY = (
+    "CASE WHEN severity <> '' THEN severity WHEN quantum_threat = 'pqc-broken' THEN 'CRITICAL'"
+    " WHEN quantum_threat = 'shor-broken' AND primitive IN ('asymmetric-encryption', 'key-exchange') THEN 'CRITICAL'"
+    " WHEN quantum_threat IN ('shor-broken', 'classical-broken') THEN 'HIGH'"
+    " WHEN quantum_threat IN ('grover-safe', 'pqc-standardized') THEN 'INFO'"
+    " WHEN quantum_threat = 'pqc-experimental' THEN 'LOW' ELSE 'MEDIUM' END"
+)
 
 
-def rules_values() -> str:
-    rows = []
-    for rule in merged_rules():
-        names = ["id", "language", "algorithm", "severity", "message", "migration", "quantum_threat", "primitive"]
-        cells = [str(rule["ord"]), *[lit(rule[n]) for n in names], str(rule["composition"])]
-        rows.append("(" + ", ".join(cells) + ")")
-    columns = "rule_ord, rule_id, language, algorithm, severity, message, migration, quantum_threat, primitive, composition"
-    return f"SELECT * FROM (VALUES {', '.join(rows)}) AS v({columns})"
+def layered_values() -> str:
+    rows = [
+        f"({n}, {', '.join(lit(str(rule.get(field) or '')) for field in _RULE_TEXTS)}, {bool(rule.get('composition'))})"
+        for n, rule in enumerate(_definitions())
+    ]
+    return f"SELECT * FROM (VALUES {', '.join(rows)}) AS v(definition, {', '.join(_RULE_TEXTS)}, composition)"
 
 
 def rule_match(line: str) -> str:
-    whens = " ".join(f"WHEN {r['ord']} THEN regexp_matches({line}, {lit(r['pattern'])})" for r in merged_rules())
-    return f"CASE r.rule_ord {whens} END"
+    whens = " ".join(f"WHEN {n} THEN regexp_matches({line}, {lit(r['pattern'])})" for n, r in enumerate(_definitions()))
+    return f"CASE r.definition {whens} END"
 
 
 EXT_LANG = {**{e: g for e, g in V.EXTENSIONS.items()}, ".rb": "ruby", ".rake": "ruby"}
@@ -115,13 +127,20 @@ file_lines AS MATERIALIZED (
   SELECT source, file, list(line ORDER BY line_no) AS ls FROM lines GROUP BY ALL
 )"""
 
-RULES = f"rules AS MATERIALIZED ({rules_values()})"
+# The last definition of an id holds, at the place of the first.
+RULES = f"""layered AS ({layered_values()}),
+rules AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY place) - 1 AS rule_ord, definition, id AS rule_id, language, algorithm,
+         {DERIVED_SEVERITY} AS severity, message, migration, quantum_threat, primitive, composition
+  FROM (SELECT *, min(definition) OVER (PARTITION BY id) AS place,
+               row_number() OVER (PARTITION BY id ORDER BY definition DESC) AS nth FROM layered) WHERE nth = 1
+)"""
 
 MATCHES = f"""
 rule_langs AS (SELECT r.*, l.lang FROM rules r JOIN (SELECT DISTINCT lang FROM ext_map) l
                ON r.language = '' OR r.language = l.lang),
 matches AS MATERIALIZED (
-  SELECT l.source, l.file, l.line_no AS line, r.* EXCLUDE (lang, language), l.line AS text,
+  SELECT l.source, l.file, l.line_no AS line, r.* EXCLUDE (lang, language, definition), l.line AS text,
          array_to_string(f.ls[greatest(l.line_no - 2, 1):greatest(l.line_no - 2, 1) + 4], chr(10)) AS snippet
   FROM lines l JOIN rule_langs r ON l.lang = r.lang AND {rule_match("l.line")}
   JOIN file_lines f ON f.source = l.source AND f.file = l.file
@@ -145,7 +164,7 @@ def notes_of(lines: str) -> str:
 
 def status_of(until: str) -> str:
     return (
-        f"CASE WHEN {AS_OF} > try_strptime(nullif({until}, ''), '%Y-%m-%d') "
+        f"CASE WHEN {AS_OF} > try_strptime(CASE WHEN regexp_matches({until}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN {until} END, '%Y-%m-%d') "
         f"THEN 'expired-exemption' ELSE 'exempted' END"
     )
 
@@ -163,7 +182,7 @@ inline_findings AS MATERIALIZED (
 
 # The globs of the planted exemption entries as regular expressions, by entry.
 GLOBS = {
-    0: r"^src/(.*/)?partners(/.*)?$",
+    0: r"^src/(.*/)?vault(/.*)?$",
     2: r"^a/[^/]*$",
     3: r"^(.*/)?F1[^/]*$",
     4: r"^services/(.*/)?[^/]*\.java$",
@@ -205,9 +224,7 @@ findings AS MATERIALIZED (
     ON h.nth = 1 AND i.source = h.source AND i.file = h.file AND i.rule_ord = h.rule_ord AND i.line = h.line
 )"""
 
-N_RULES = len(merged_rules())
-
-REPORTS = f"""
+REPORTS = """
 risk AS MATERIALIZED (
   SELECT source,
          count(*) FILTER (severity = 'CRITICAL' AND status <> 'exempted') AS critical,
@@ -226,7 +243,7 @@ scanned AS (
   FROM corpus c LEFT JOIN selected s ON c.source = s.source AND c.file = s.file GROUP BY 1
 ),
 reports AS MATERIALIZED (
-  SELECT s.source, s.files_scanned, CAST({N_RULES} AS BIGINT) AS rules_applied,
+  SELECT s.source, s.files_scanned, (SELECT count(*) FROM rules) AS rules_applied,
          coalesce(critical, 0) AS critical, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium,
          coalesce(low, 0) AS low, coalesce(info, 0) AS info, coalesce(safe, 0) AS safe,
          coalesce(total, 0) AS total, coalesce(exempted, 0) AS exempted, coalesce(active, 0) AS active,

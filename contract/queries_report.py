@@ -96,7 +96,7 @@ def a4_totals(c: Context) -> DataFrame:
 @query(
     "a5_files_scanned",
     O.with_steps(
-        f"""SELECT c.source, count(s.file) AS files_scanned, CAST({O.N_RULES} AS BIGINT) AS rules_applied
+        f"""SELECT c.source, count(s.file) AS files_scanned, (SELECT count(*) FROM rules) AS rules_applied
             FROM corpus c LEFT JOIN selected s ON c.source = s.source AND c.file = s.file GROUP BY 1""",
         O.CORPUS,
         O.SELECTED,
@@ -386,7 +386,7 @@ def s13_step_summary(c: Context) -> DataFrame:
     return _big(listings.step_summary(c.reports), "ord")
 
 
-_FIRST = f"""first AS (
+_FIRST = f"""first AS MATERIALIZED (
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY {_SEQ}) - 1 AS rule_index FROM (
     SELECT *, row_number() OVER (PARTITION BY source, rule_id ORDER BY {_SEQ}) AS nth FROM findings) WHERE nth = 1)"""
 

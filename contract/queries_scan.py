@@ -362,7 +362,7 @@ _GLOB_CASES = {
     "**": r"^.*$",
     "**/*.java": r"^(.*/)?[^/]*\.java$",
     "src/**": r"^src(/.*)?$",
-    "src/**/partners/**": r"^src/(.*/)?partners(/.*)?$",
+    "src/**/vault/**": r"^src/(.*/)?vault(/.*)?$",
     "a/*": r"^a/[^/]*$",
     "a/?": r"^a/[^/]$",
     "*/F??_*": r"^[^/]*/F[^/][^/]_[^/]*$",
@@ -514,13 +514,7 @@ _RULE_TABLE = f"""rule_table AS (
          {_sql_pick(_PRIMITIVES, "p_partkey + 7 * (p_partkey % 11)")} AS primitive
   FROM part)"""
 
-_DERIVED = (
-    "CASE WHEN severity <> '' THEN severity WHEN quantum_threat = 'pqc-broken' THEN 'CRITICAL'"
-    " WHEN quantum_threat = 'shor-broken' AND primitive IN ('asymmetric-encryption', 'key-exchange') THEN 'CRITICAL'"
-    " WHEN quantum_threat IN ('shor-broken', 'classical-broken') THEN 'HIGH'"
-    " WHEN quantum_threat IN ('grover-safe', 'pqc-standardized') THEN 'INFO'"
-    " WHEN quantum_threat = 'pqc-experimental' THEN 'LOW' ELSE 'MEDIUM' END"
-)
+_DERIVED = O.DERIVED_SEVERITY
 
 
 @query(
