@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
@@ -757,6 +758,121 @@ def s10_combined_document(c: Context) -> DataFrame:
     return digest.combined_document(c.stored.findings, c.stored.reports, "2026-04-19")
 
 
+_COUNTERS = ("files_scanned", "critical", "high", "medium", "low", "total", "exempted")
+_GLOBAL = ("files_scanned", "total_findings", "critical", "high", "medium", "low")
+
+
+@query(
+    "s10_combined_fields",
+    O.from_reports(
+        "SELECT '' AS source, 'projects' AS field, CAST(count(*) AS VARCHAR) AS value FROM reports"
+        + "".join(
+            f" UNION ALL SELECT '', '{n}', CAST(sum({n.replace('total_findings', 'total')}) AS VARCHAR) FROM reports" for n in _GLOBAL
+        )
+        + " UNION ALL SELECT '', 'threat ' || quantum_threat, CAST(count(*) AS VARCHAR) FROM findings WHERE status <> 'exempted' GROUP BY quantum_threat"
+        + """ UNION ALL SELECT '', 'algorithm ' || CAST(row_number() OVER (ORDER BY n DESC, algorithm) AS VARCHAR), algorithm || ' ' || CAST(n AS VARCHAR)
+               FROM (SELECT algorithm, CAST(sum("count") AS BIGINT) AS n FROM alg GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)"""
+        + "".join(
+            f" UNION ALL SELECT '', '{name} {f}', CAST(count(*) FILTER (verdict = '{v}') AS VARCHAR) FROM reports"
+            for f in ("nis2", "dora")
+            for name, v in (("non_compliant", "NON-COMPLIANT"), ("at_risk", "AT RISK"), ("compliant", "COMPLIANT"))
+        )
+        + "".join(f" UNION ALL SELECT source, '{n}', CAST({n} AS VARCHAR) FROM reports" for n in _COUNTERS)
+        + " UNION ALL SELECT source, 'nis2', verdict FROM reports"
+        + " UNION ALL SELECT r.source, 'top_algorithm', coalesce(b.algorithm, 'n/a') FROM reports r LEFT JOIN best b ON r.source = b.source"
+        + f""" UNION ALL SELECT source, 'finding ' || CAST(nth AS VARCHAR), rule_id || ' ' || file || ' ' || CAST(line AS VARCHAR) || ' ' || severity
+               FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY {_RANK}, {_SEQ}) AS nth FROM findings WHERE status = 'active')
+               WHERE nth <= 5""",
+        _ALG,
+        _BEST,
+    ),
+)
+def s10_combined_fields(c: Context) -> DataFrame:
+    """Every value of the combined document, parsed from its written fragments: the global part and all projects."""
+    folder = shared_directory(c.spark, f"combined-{uuid4().hex}")
+    digest.combined_document(c.stored.findings, c.stored.reports, "2026-04-19").write.parquet(folder)
+    parts = c.spark.read.parquet(folder)
+
+    def fields(frame: DataFrame, source: Column, values: dict) -> DataFrame:
+        pairs = [x for name, value in values.items() for x in (F.lit(name), value.cast("string"))]
+        return frame.select(source.alias("source"), F.stack(F.lit(len(values)), *pairs).alias("field", "value"))
+
+    summary = ", ".join(f"{n}_{f}: bigint" for f in ("nis2", "dora") for n in ("non_compliant", "at_risk", "compliant"))
+    head = f"""meta struct<projects_count: bigint>, `global` struct<{", ".join(f"{n}: bigint" for n in _GLOBAL)},
+      by_quantum_threat: map<string, bigint>, top_algorithms: array<struct<algorithm: string, count: bigint>>,
+      compliance_summary: struct<{summary}>>"""
+    top = parts.where("part = 0").select(F.from_json(F.concat("text", F.lit("]}")), head).alias("r")).select("r.*")
+    g = F.col("global")
+    values = {"projects": F.col("meta.projects_count")} | {n: g[n] for n in _GLOBAL}
+    values |= {f"{n} {f}": g["compliance_summary"][f"{n}_{f}"] for f in ("nis2", "dora") for n in ("non_compliant", "at_risk", "compliant")}
+    nowhere = F.lit("")
+    threats = top.select(F.explode(g["by_quantum_threat"]).alias("threat", "n"))
+    algorithms = top.select(F.posexplode(g["top_algorithms"]).alias("i", "a"))
+    item = f"""source string, files_scanned bigint, risk_summary struct<{", ".join(f"{n}: bigint" for n in _COUNTERS[1:])}>,
+      compliance struct<nis2: string>, top_findings array<struct<rule_id: string, file: string, line: bigint, severity: string>>,
+      top_algorithm string"""
+    body = F.regexp_replace("text", r"\A,", "")
+    projects = parts.where("part = 1").select(F.from_json(body, item).alias("p")).select("p.*")
+    own = {n: F.col("risk_summary")[n] for n in _COUNTERS[1:]} | {"files_scanned": F.col("files_scanned")}
+    own |= {"nis2": F.col("compliance.nis2"), "top_algorithm": F.col("top_algorithm")}
+    found = projects.select("source", F.posexplode("top_findings").alias("i", "f"))
+    told = F.concat_ws(" ", "f.rule_id", "f.file", F.col("f.line").cast("string"), "f.severity")
+    rows = [
+        fields(top, nowhere, values),
+        threats.select(nowhere.alias("source"), F.concat(F.lit("threat "), "threat").alias("field"), F.col("n").cast("string").alias("value")),
+        algorithms.select(
+            nowhere.alias("source"),
+            F.concat(F.lit("algorithm "), (F.col("i") + 1).cast("string")).alias("field"),
+            F.concat_ws(" ", "a.algorithm", F.col("a.count").cast("string")).alias("value"),
+        ),
+        fields(projects, F.col("source"), own),
+        found.select("source", F.concat(F.lit("finding "), (F.col("i") + 1).cast("string")).alias("field"), told.alias("value")),
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query(
+    "s9_sarif_edges",
+    O.from_reports(
+        f"""SELECT x.source, CAST(x.rule_index AS BIGINT) AS rule_index, x.rule_id AS name, {case("x.severity", V.SARIF_LEVEL, "'note'")} AS level,
+              x.message AS "text", 'security,cryptography,post-quantum,' || x.quantum_threat || ',' || x.primitive AS tags, x.composition AS flag
+            FROM first x
+            UNION ALL SELECT source, -1, 'report', verdict, critical || '/' || high || '/' || total || '/' || exempted, '', NULL FROM reports""",
+        _FIRST,
+    ),
+)
+def s9_sarif_edges(c: Context) -> DataFrame:
+    """Rules of the written SARIF documents, from their heads, and the report's properties, from their tails."""
+    folder = shared_directory(c.spark, f"sarif-{uuid4().hex}")
+    fragments = documents.sarif_document(c.stored.reports, c.stored.findings)
+    fragments.where("part <> 1").write.parquet(folder)
+    edges = c.spark.read.parquet(folder)
+    own = f"""struct<id: string, fullDescription: struct<text: string>, defaultConfiguration: struct<level: string>,
+      properties: struct<tags: array<string>, {V.PROPERTY_NAMESPACE}: struct<composition: boolean>>>"""
+    head = f"runs array<struct<tool: struct<driver: struct<rules: array<{own}>>>>>"
+    parsed = edges.where("part = 0").select("source", F.from_json(F.concat("text", F.lit("]}]}")), head).alias("r"))
+    rules = parsed.select("source", F.posexplode(F.col("r.runs")[0]["tool"]["driver"]["rules"]).alias("i", "x"))
+    tail = f"""runs array<struct<properties: struct<{V.PROPERTY_NAMESPACE}: struct<compliance: struct<nis2: string>,
+      riskSummary: struct<critical: string, high: string, total: string, exempted: string>>>>>"""
+    closing = F.from_json(F.concat(F.lit('{"runs":[{"results":['), "text"), tail)
+    ends = edges.where("part = 2").select("source", closing["runs"][0]["properties"][V.PROPERTY_NAMESPACE].alias("p"))
+    described = rules.select(
+        "source",
+        F.col("i").cast("bigint").alias("rule_index"),
+        F.col("x.id").alias("name"),
+        F.col("x.defaultConfiguration.level").alias("level"),
+        F.col("x.fullDescription.text").alias("text"),
+        F.array_join("x.properties.tags", ",").alias("tags"),
+        F.col("x.properties")[V.PROPERTY_NAMESPACE]["composition"].alias("flag"),
+    )
+    risk = F.concat_ws("/", *[F.col("p.riskSummary")[n] for n in ("critical", "high", "total", "exempted")])
+    reports = ends.select(
+        "source", F.lit(-1).cast("bigint").alias("rule_index"), F.lit("report").alias("name"), F.col("p.compliance.nis2").alias("level"),
+        risk.alias("text"), F.lit("").alias("tags"), F.lit(None).cast("boolean").alias("flag"),
+    )
+    return described.unionByName(reports)
+
+
 # -- diff --------------------------------------------------------------------
 
 _SPACE_RUN = O.lit("[" + V.SPACE_CLASS + "]+")

@@ -187,6 +187,7 @@ def ci_lines(findings: DataFrame) -> DataFrame:
 
 def step_summary(reports: DataFrame) -> DataFrame:
     """Eight metrics per report, one row each."""
+    # Labels of the table's rows.
     metrics = [
         ("Files scanned", "files_scanned"),
         ("Total findings", "total"),

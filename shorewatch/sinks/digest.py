@@ -19,6 +19,7 @@ def _rows(frame: DataFrame, order: list, *cells) -> DataFrame:
 
 
 def overview(reports: DataFrame) -> DataFrame:
+    # Labels of the table's rows.
     names = {
         "Projects scanned": "projects_count",
         "Total files scanned": "files_scanned",

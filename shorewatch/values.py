@@ -1,7 +1,7 @@
 """Fixed values of the compatible formats.
 
-Everything in this module is data that existing rule packs, source annotations
-and report consumers already rely on; none of it can be chosen freely.
+Sections marked as fixed hold data that existing rule packs, source annotations and report consumers already
+rely on; those marked as defaults of this package are its own and can be changed.
 """
 
 # -- fixed values: enumerations ---------------------------------------------
