@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 from contract.registry import Context
 from shorewatch.operators.diff import compare, new_findings
 from shorewatch.operators.scan import scan
-from shorewatch.streaming.incremental import file_stream, finding_stream, run_available, unseen
+from shorewatch.sources.rules import RulePack
+from shorewatch.streaming.incremental import file_stream, finding_stream, publish, run_available, scan_versioned, unseen
 
 SF = "/root/testdata/sf0.001"
 
@@ -46,3 +47,26 @@ def test_unseen_fingerprints(spark, tmp_path):
     assert [(r.change) for r in counts] == ["unchanged"]
     assert out.count() == counts[0]["count"]
     assert new_findings(batch, out).count() == 0
+
+
+def test_a_batch_that_runs_again_keeps_its_version(spark, tmp_path):
+    """Newer rules are published between a batch and its repetition; the repetition leaves the same rows."""
+    c = Context(spark, SF)
+    inbox, tables, out, checkpoint = (str(tmp_path / n) for n in ("inbox", "tables", "out", "checkpoint"))
+    arrivals(c, F.col("file").like("a/%")).coalesce(2).write.parquet(inbox)
+    publish(tables, 0, RulePack(c.pack.rules[:12]), c.exemptions.limit(0))
+    run = lambda: scan_versioned(file_stream(spark, inbox), tables, out, checkpoint, c.as_of).awaitTermination()
+    run()
+    first = key(spark.read.parquet(f"{out}/findings"))
+    publish(tables, 1, c.pack, c.exemptions)
+    # As after a failure between the batch and its entry in the log of commits.
+    for name in ("0", ".0.crc"):
+        (tmp_path / "checkpoint" / "commits" / name).unlink()
+    run()
+    again = spark.read.parquet(f"{out}/findings")
+    assert key(again) == first and {r.version for r in again.select("version").distinct().collect()} == {0}
+    arrivals(c, F.col("file").like("src/%")).coalesce(1).write.mode("append").parquet(inbox)
+    run()
+    later = spark.read.parquet(f"{out}/findings").where("version = 1")
+    assert key(later) == key(scan(c.corpus.where("file like 'src/%'"), c.pack, c.as_of, c.exemptions))
+    assert first and later.count() > 0
