@@ -35,13 +35,15 @@ def link_regions(
     radius: float | None = None,
     small: int = SMALL,
     growth: int = GROWTH,
+    early: Column | None = None,
 ) -> DataFrame:
     """(node, component) of the nodes that links connect.
 
     ``members`` has region, node and what the condition on ``a_`` and ``b_`` columns needs; each node once
     in a region.  ``measure`` takes pairs (a, b) and returns (a, b, distance, linked); a null distance
     takes part in no window.  A region is done when its members are in one component or all have
-    been pivots, so every pair that meets the condition is measured or settled otherwise.
+    been pivots, so every pair that meets the condition is measured or settled otherwise.  Members that ``early`` holds
+    for are compared with one pivot of their region before all others: what that joins is not compared again.
     """
     sizes = members.select("region", "node").groupBy("region").agg(F.count("*").alias("count"), F.min("node").alias("pivot"))
     members = members.join(materialize(sizes.where("count > 1"), "regions"), "region")
@@ -50,6 +52,14 @@ def link_regions(
     members = members.withColumn("turn", F.pmod(F.xxhash64("region", "node"), F.col("count")) + 1)
     members = materialize(members, "members")
     measured: DataFrame | None = None
+    if early is not None:
+        begun = members.where(early)
+        least = begun.groupBy("region").agg(F.min("node").alias("pivot"))
+        begun = begun.drop("pivot").join(materialize(least, "least"), "region")
+        measured = measure(materialize(pairs_in_regions(begun, F.col("node") == F.col("pivot"), condition), "pairs"))
+        joined = materialize(connected_components(measured.where("linked").select("a", "b")), "components")
+        members = members.drop("component").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        members = materialize(members, "members")
     pivots, turns, whole = F.col("node") == F.col("pivot"), 1, small
     while True:
         pairs = pairs_in_regions(members, pivots | (F.col("count") <= whole), condition)
