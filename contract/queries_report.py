@@ -97,10 +97,11 @@ def a4_totals(c: Context) -> DataFrame:
 @query(
     "a5_files_scanned",
     O.with_steps(
-        f"""SELECT c.source, count(s.file) AS files_scanned, (SELECT count(*) FROM rules) AS rules_applied
+        """SELECT c.source, count(s.file) AS files_scanned, (SELECT count(*) FROM rules) AS rules_applied
             FROM corpus c LEFT JOIN selected s ON c.source = s.source AND c.file = s.file GROUP BY 1""",
         O.CORPUS,
         O.SELECTED,
+        O.RULES,
     ),
 )
 def a5_files_scanned(c: Context) -> DataFrame:
