@@ -150,7 +150,9 @@ def large_pack() -> RulePack:
       SELECT i, s[1 + k // {len(_SYLLABLES) ** 2}] || s[1 + k // {len(_SYLLABLES)} % {len(_SYLLABLES)}] || s[1 + k % {len(_SYLLABLES)}] AS word
       FROM (SELECT i, i * {_STEP} % {len(_SYLLABLES) ** 3} AS k FROM range({_LARGE}) AS r(i)), syllables
     ), l AS ({O.lines_of("texts")}), near AS MATERIALIZED (
-      SELECT l.*, r.i, r.word FROM l JOIN rules r ON contains(lower(l.line), r.word)
+      SELECT DISTINCT source, file, line_no, line, i, word FROM (
+        SELECT l.*, unnest(range(1, length(lower(line)) - 4)) AS p FROM l) g
+      JOIN rules r ON substr(lower(g.line), g.p, 6) = r.word
     )
     SELECT source, file, 'large-' || CAST(i AS VARCHAR) AS rule_id, CAST(line_no AS BIGINT) AS line FROM near
     WHERE CASE i % 4 """
