@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shorewatch import model
-from shorewatch.sources.rules import FIELDS, RuleError, parse_rules
+from shorewatch.sources.rules import FIELDS, RuleError, listed_rules
 from shorewatch.sources.trees import FAILFAST, list_files, parsed_files
 
 _COLUMNS = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in model.LAYERED_RULES.fields if f.name not in ("layer", "file"))
 
 
-def _rules(text: str, _: str) -> list[dict]:
+def _rules(text: str, _: str) -> Iterator[dict]:
     try:
-        return [{"pos": n, **{f: rule[f] for f in FIELDS}} for n, rule in enumerate(parse_rules(text))]
+        return ({"pos": n, **{f: rule[f] for f in FIELDS}} for n, rule in enumerate(listed_rules(text)))
     except RuleError:
         raise
     except Exception as error:
