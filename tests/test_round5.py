@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as contract
 from shorewatch.operators.salting import salted_join
 from shorewatch.plans import jobs
-from shorewatch.sinks.documents import with_rule_index
+from shorewatch.sinks.documents import with_rule_index, write_documents
 from shorewatch.sources.rules import table
 
 SF = "/root/testdata/sf0.001"
@@ -65,3 +65,15 @@ def test_scans_are_compared_without_what_a_fingerprint_lacks(spark):
 def test_an_entry_is_looked_up_once(spark):
     plan = _plan(contract.queries()["s15_project_page"](spark, SF))
     assert plan.count("filter(_list#") == 1
+
+
+def test_documents_are_compressed_at_the_least_level(spark, tmp_path):
+    import zlib
+
+    rows = [{"source": "s", "text": "".join(f'{{"rule_id":"r{i * j % 7}","file":"a/{i * j * 7919 % 10007}.go","line":{j}}}' for j in range(20))} for i in range(400)]
+    frame = table(spark, rows, "source string, text string").coalesce(1)
+    write_documents(frame, str(tmp_path / "out"), "gzip", ordered=True)
+    (file,) = (tmp_path / "out").rglob("part-*.gz")
+    text = zlib.decompress(file.read_bytes(), 31)
+    sizes = [len(zlib.compress(text, level)) for level in (1, 6)]
+    assert text.decode().splitlines() == [r["text"] for r in rows] and abs(file.stat().st_size - sizes[0]) < abs(file.stat().st_size - sizes[1])
